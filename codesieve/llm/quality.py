@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import U64, materialise, window_hash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_distinct", "n_upper", "n_ends")
+EXTRA = ("n_lines", "n_distinct", "n_upper", "n_ends", "n_marks", "n_symbol_ends")
+SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SCHEMA = ", ".join(f"{c} bigint" for c in COUNTS + EXTRA)
 
 
@@ -60,7 +62,9 @@ def count_text(text: str | None) -> tuple[int, ...]:
             repeated = int((np.cumsum(edge[:n]) > 0).sum())
     upper = sum(map(bytes.isupper, words))
     ends = sum(x.endswith((b".", b"!", b"?")) for x in words)
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), len(set(words)), upper, ends
+    marks = n - sum(map(bool, [x.strip(MARKS) for x in words]))
+    symbol_ends = sum(x.endswith(SYMBOLS) for x in words) if symbols else 0
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), len(set(words)), upper, ends, marks, symbol_ends
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +94,8 @@ def votes():
         "length": _band(n, F.col("n_words") < 20, F.col("n_words") >= 50),
         "word_length": _band(n, enough & ((share("word_chars") < 2.5) | (share("word_chars") > 12)), enough & share("word_chars").between(3.5, 9)),
         "symbols": _band(n, enough & (share("n_symbols") > 0.2), enough & (share("n_symbols") <= 0.02)),
+        "symbol_words": _band(n, enough & (share("n_symbol_ends") > 0.2), enough & (share("n_symbol_ends") <= 0.05)),
+        "marks": _band(n, enough & (share("n_marks") > 0.2), enough & (share("n_marks") <= 0.05)),
         "dup_lines": _band(n, (F.col("n_lines") >= 4) & (F.col("n_dup_lines") > 0.4 * F.col("n_lines")), (F.col("n_lines") >= 2) & (F.col("n_dup_lines") == 0)),
         "repeats": _band(n, 100 * F.col("n_repeat_words") > 30 * F.col("n_words"), enough & (share("n_repeat_words") <= 0.1)),
         "upper": _band(n, enough & (share("n_upper") > 0.4), enough & (share("n_upper") <= 0.1)),
@@ -98,9 +104,11 @@ def votes():
     }
 
 
-RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "upper", "sentences", "variety")
+RULES = ("length", "word_length", "symbols", "symbol_words", "marks", "dup_lines", "repeats", "upper", "sentences", "variety")
 #: What EM starts from: rows by class (bad, good), columns by outcome (bad, abstain, good). Bad votes are rare but telling.
-START = np.array([[0.30, 0.20, 0.50], [0.02, 0.13, 0.85]])
+START = np.array([[0.30, 0.10, 0.60], [0.005, 0.095, 0.90]])
+#: A rule is taken to be better than chance: its bad votes are at least so many times as likely in the bad class.
+TELLING = 10.0
 
 
 def fit_em(patterns: np.ndarray, weights: np.ndarray, steps: int = 60, prior: float = 0.8):
@@ -120,6 +128,8 @@ def fit_em(patterns: np.ndarray, weights: np.ndarray, steps: int = 60, prior: fl
         for k, r in enumerate((1 - post, post)):
             s = np.einsum("p,prv->rv", r * weights, onehot) + hold[k]
             table[k] = s / s.sum(axis=1, keepdims=True)
+        table[1, :, 0] = np.minimum(table[1, :, 0], table[0, :, 0] / TELLING)
+        table[1] /= table[1].sum(axis=1, keepdims=True)
         new = float(np.clip((post * weights).sum() / total, 0.05, 0.99))
         if abs(new - prior) < 1e-9:
             break
@@ -141,7 +151,7 @@ def vote_pattern():
 
 def fit_model(counted: DataFrame) -> DataFrame:
     """(pattern, p_good) from counts of all documents with their vote_pattern(): at most 3**len(RULES) rows."""
-    seen = counted.groupBy("pattern").count().collect()  # at most 3**8 rows
+    seen = counted.groupBy("pattern").count().collect()  # at most 3**10 rows
     codes = np.array([r["pattern"] for r in seen], np.int64)
     patterns = (codes[:, None] // 3 ** np.arange(len(RULES))[None, :]) % 3 - 1
     prior, table = fit_em(patterns, np.array([r["count"] for r in seen], float))
@@ -153,7 +163,7 @@ def fit_model(counted: DataFrame) -> DataFrame:
 def _judged(counted: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        counted.join(F.broadcast(model), "pattern", "left")  # 6,561 rows at most
+        counted.join(F.broadcast(model), "pattern", "left")  # 59,049 rows at most
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("p_good") >= threshold))
     )
