@@ -12,10 +12,12 @@ from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Unsigned 64-bit arithmetic wraps on purpose in the hashes below.
 U64 = np.uint64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -39,8 +41,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so that a lost executor costs nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what is written needs its shuffle files no longer
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._codesieve_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise() wrote, once all that was made of it is itself written."""
+    for t in tables:
+        fs, p = hadoop_path(t.sparkSession, t._codesieve_path)
+        fs.delete(p, True)
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -67,6 +83,21 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def _model(path: str):
+    return _tokenizer(path).model
+
+
+#: The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
+BYTE_LETTERS, _next = [], 256
+for _b in range(256):
+    if 33 <= _b <= 126 or 161 <= _b <= 172 or _b >= 174:
+        BYTE_LETTERS.append(chr(_b))
+    else:
+        BYTE_LETTERS.append(chr(_next))
+        _next += 1
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the installed package of public vocabularies keeps a file."""
     import public_tokenizers
@@ -88,7 +119,7 @@ class WordCache:
     #: Letters, then one run of ASCII marks: the tokenizer parts such a chunk between the two.
     WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
 
-    def __init__(self, path: str, limit: int = 1_000_000, dtype: str = "<u2"):
+    def __init__(self, path: str, limit: int = 600_000, dtype: str = "<u2"):
         self.path, self.limit, self.dtype = path, limit, dtype
         self.known: dict[str, bytes] = {}
 
@@ -107,18 +138,26 @@ class WordCache:
                 at = to
 
     def _learn(self, new: set[str]) -> None:
-        """Adds chunks: a word with marks after it by its two parts, an ASCII word by its lower case."""
+        """Adds chunks: a word with marks after it by its two parts, a Latin-1 word by its lower case.
+
+        Lower-case Latin-1 words are in the form that the vocabulary's normaliser and pre-tokenizer give them but for the
+        letters that stand for their bytes, so they go to the library's model itself; all else goes through the whole.
+        """
         known, split, plain = self.known, {}, set()
+        model, dtype = _model(self.path), self.dtype
         for c in new:
             m = self.WORD_AND_MARKS.fullmatch(c)
             parts = [m[1], m[2]] if m else [c]
-            if parts[0].isascii() and parts[0].isalpha():
-                parts[0] = parts[0].lower()
+            if parts[0].isalpha() and max(parts[0]) < "\u0100":
+                word = parts[0] = parts[0].lower()
+                if word not in known:
+                    spelt = word if word.isascii() else "".join([BYTE_LETTERS[b] for b in word.encode()])
+                    known[word] = np.array([t.id for t in model.tokenize(spelt)], dtype).tobytes()
             split[c] = parts
-            plain.update(x for x in parts if x not in known)
+            plain.update([x for x in parts if x not in known])
         self._add(list(plain))
         for c, parts in split.items():
-            if c not in plain:
+            if c not in known:
                 known[c] = b"".join(map(known.__getitem__, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -189,6 +228,39 @@ def sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     return op(a[:n], a[width - have : width - have + n]) if have < width else a[:n]
 
 
-def file_table(df: DataFrame, name: str) -> DataFrame:
-    """df as a table of files, so that reading it again gives the same rows in the same partitions."""
-    return materialise(df, name)
+def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix64(ids.astype(np.int64).view(U64))
+    return [((h >> U64(s)) ^ (h << U64(64 - s))) % U64(bits) for s in (1, 17, 33, 49)]
+
+
+def only_wanted(rows: DataFrame, key: str, wanted: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """The rows whose ``key`` (bigint) is in ``wanted`` (distinct keys): rows joined to wanted, left semi.
+
+    Where a Bloom filter of the keys (10 bits each) fits into most_bytes, it is broadcast, so that nearly all other rows
+    are dropped before the shuffle of the join; with more keys than that the join does it alone.
+    """
+    n = wanted.count()
+    if n and 10 * n <= 8 * most_bytes:
+        bits = 8 * (-(-10 * n // 8))
+
+        def build(batches):
+            table = np.zeros(bits, bool)
+            for batch in batches:
+                for at in _bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                    table[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
+
+        parts = wanted.select(key).coalesce(1).mapInArrow(build, "bits binary").collect()  # most_bytes at most
+        held = rows.sparkSession.sparkContext.broadcast(parts[0]["bits"])
+
+        def thin(batches):
+            table = np.frombuffer(held.value, np.uint8)
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index(key))
+                keep = ids.is_valid().to_numpy(zero_copy_only=False)
+                for at in _bloom_places(ids.fill_null(0).to_numpy(zero_copy_only=False), bits):
+                    keep &= (table[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array(keep))
+
+        rows = rows.mapInArrow(thin, rows.schema)
+    return rows.join(wanted, key, "left_semi")
