@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix64
+from .common import U64, materialise, mix64, only_wanted
 
 WORDS, SIZE, BANDS = 5, 125, 25
 ROWS = SIZE // BANDS
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) ->
         pairs = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("signature").alias("s")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("signature").alias("t")), "b")
         pairs = materialise(pairs.mapInArrow(_pair_rows("s", "t", alike, ["a", "b"]), "a bigint, b bigint, similar boolean").filter("similar").select("a", "b"), "candidates")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
+        sets = only_wanted(rows, "doc_id", materialise(wanted, "wanted")).mapInArrow(_set_rows, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
         sets = materialise(sets, "shingle-sets")
         full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
         links = materialise(full.mapInArrow(_pair_rows("s", "t", lambda x, y: jaccard(x, y) >= threshold, ["a", "b"]), "a bigint, b bigint, similar boolean").filter("similar").select("a", "b"), "links")
