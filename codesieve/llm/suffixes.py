@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix64, sliding, window_hash
+from .common import U64, discard, materialise, mix64, sliding, window_hash
 
 MIN, K = 50, 24
 W = MIN - K + 1  # grams in a window; windows that may hold an anchor
@@ -367,14 +367,16 @@ def _judge_contexts(table: pa.Table) -> pa.Table:
         else:
             mask = np.zeros(len(ids), "<u4")
             before, after = data[:, WIDE], data[:, WIDE + 1]
-            prefix = np.zeros((WIDE + 1, len(ids)), U64)
-            for c in range(WIDE):
-                prefix[c + 1] = prefix[c] * U64(0x9E3779B97F4A7C15) + data[:, c].astype(U64) + U64(1)
-            power = U64(pow(0x9E3779B97F4A7C15, MIN, 1 << 64))
-            for k in range(W):
-                a = LEFT - k
+            base, first = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, MIN - 1, 1 << 64))
+            rolling = np.zeros(len(ids), U64)
+            for c in range(MIN):
+                rolling = rolling * base + data[:, c].astype(U64)
+            for a in range(W):
+                k = LEFT - a
+                if a:
+                    rolling = (rolling - data[:, a - 1].astype(U64) * first) * base + data[:, a + MIN - 1].astype(U64)
                 ok = np.flatnonzero((before >= k) & (after >= MIN - k))
-                h = prefix[a + MIN, ok] - prefix[a, ok] * power
+                h = rolling[ok]
                 by = np.argsort(h, kind="stable")  # windows that no other context has are out
                 s = h[by]
                 same = s[1:] == s[:-1]
@@ -438,7 +440,7 @@ def _release(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def repeat_spans(docs: DataFrame, keep: bool = False, part_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def repeat_spans(docs: DataFrame, keep: bool = False, part_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, key (MD5 of the text), n_bytes, n_removed, n_spans, kept_sha256 and kept (what stays, in whole characters, if asked for)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"key": F.unhex(F.md5(F.col("text").cast("binary"))), "n_bytes": F.octet_length("text").cast("bigint")})
@@ -456,11 +458,13 @@ def repeat_spans(docs: DataFrame, keep: bool = False, part_bytes: int = 8 << 20,
         "doc_id", "key", "n_bytes", F.when(F.col("kind") == 2, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(F.col("kind") == 2, 1).otherwise(0).cast("bigint").alias("n_spans"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), (F.coalesce("text", F.lit("")).cast("binary") if keep else none).alias("kept"),
     )
+    simple = materialise(simple, "simple")  # no texts but of documents that are too short
     texts = base.filter("kind = 1").select("doc_id", "text", "part")
     sent = texts.groupBy("part").applyInArrow(_send_anchors(buckets), "part bigint, bucket bigint, hashes binary, notes binary")
     judged = materialise(sent.groupBy("bucket").applyInArrow(_judge_anchors, "part bigint, bucket bigint, n bigint, several binary, heavy binary"), "anchors")
     _release(docs)
     step = materialise(texts.groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(_send_contexts(buckets, keep), STEP), "contexts")
+    discard(base, judged)
     _release(docs)
     masks = step.filter("kind >= 2").select("kind", "part", "bucket", "blob", "smallest").groupBy("bucket").applyInArrow(_judge_contexts, "part bigint, bucket bigint, kind int, marks binary")
     masks = materialise(masks, "marks")
