@@ -121,7 +121,7 @@ def prob_minhash(h: np.ndarray, weight: np.ndarray, text: np.ndarray, n_texts: i
     return signature
 
 
-def _slabs(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slabs(texts: list, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts of about ``size`` characters."""
     begin = n = 0
     for i, t in enumerate(texts):
