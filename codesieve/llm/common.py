@@ -6,9 +6,11 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import re
+import struct
 import tempfile
 import uuid
 from functools import lru_cache
+from itertools import filterfalse
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -110,7 +112,8 @@ class WordCache:
 
     That holds where white space is dropped before the merges, as in the word-end vocabularies: the ids of a text are
     those of its white-space-delimited chunks, one after the other, so each distinct chunk is encoded once and then
-    looked up. Memory is bounded: beyond ``limit`` chunks the cache starts anew. Ids are kept as little-endian bytes of
+    looked up. Memory is bounded: beyond half of ``limit`` chunks a new generation begins; chunks of the one before move
+    over when they are met again, those of the one before that are forgotten. Ids are kept as little-endian bytes of
     ``dtype``.
     """
 
@@ -122,6 +125,16 @@ class WordCache:
     def __init__(self, path: str, limit: int = 600_000, dtype: str = "<u2"):
         self.path, self.limit, self.dtype = path, limit, dtype
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pack = struct.Struct(("<H", "<I")[np.dtype(dtype).itemsize == 4]).pack
+        self.of_id: dict[int, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        try:
+            return b"".join([self.of_id[i] for i in ids])
+        except KeyError:
+            self.of_id.update((i, self.pack(i)) for i in ids)
+            return b"".join([self.of_id[i] for i in ids])
 
     def _add(self, chunks: list[str]) -> None:
         """Encodes chunks (none with white space), many in one text: the offsets of the ids tell them apart."""
@@ -137,46 +150,65 @@ class WordCache:
                 known[c] = ids[at:to].tobytes()
                 at = to
 
-    def _learn(self, new: set[str]) -> None:
-        """Adds chunks: a word with marks after it by its two parts, a Latin-1 word by its lower case.
+    def _word(self, word: str) -> bytes:
+        """A lower-case Latin-1 word, which is in the form that the vocabulary's normaliser and pre-tokenizer give it but
+        for the letters that stand for its bytes: it goes to the library's model itself."""
+        own = self.known.get(word) or self.old.get(word)
+        if own is None:
+            spelt = word if word.isascii() else "".join([BYTE_LETTERS[b] for b in word.encode()])
+            own = self._bytes([t.id for t in _model(self.path).tokenize(spelt)])
+        self.known[word] = own
+        return own
 
-        Lower-case Latin-1 words are in the form that the vocabulary's normaliser and pre-tokenizer give them but for the
-        letters that stand for their bytes, so they go to the library's model itself; all else goes through the whole.
-        """
-        known, split, plain = self.known, {}, set()
-        model, dtype = _model(self.path), self.dtype
+    def _learn(self, new: set[str]) -> None:
+        """Adds chunks: a word with marks after it by its two parts, a Latin-1 word by its lower case, all else by the library as a whole."""
+        known, old, match, latin = self.known, self.old, self.WORD_AND_MARKS.fullmatch, lambda c: c.isascii() or max(c) < "\u0100"
+        later: list[str] = []
+        plain: set[str] = set()
         for c in new:
-            m = self.WORD_AND_MARKS.fullmatch(c)
-            parts = [m[1], m[2]] if m else [c]
-            if parts[0].isalpha() and max(parts[0]) < "\u0100":
-                word = parts[0] = parts[0].lower()
-                if word not in known:
-                    spelt = word if word.isascii() else "".join([BYTE_LETTERS[b] for b in word.encode()])
-                    known[word] = np.array([t.id for t in model.tokenize(spelt)], dtype).tobytes()
-            split[c] = parts
-            plain.update([x for x in parts if x not in known])
+            own = old.get(c)
+            if own is not None:
+                known[c] = own
+            elif c.isalpha():
+                if latin(c):
+                    known[c] = self._word(c.lower())
+                else:
+                    plain.add(c)
+            else:
+                m = match(c)
+                if m is None:
+                    plain.add(c)
+                    continue
+                word, marks = m.groups()
+                if word.isalpha() and latin(word):
+                    head, tail = self._word(word.lower()), known.get(marks)
+                    if tail is not None:
+                        known[c] = head + tail
+                        continue
+                    word = word.lower()
+                plain.update([x for x in (word, marks) if x not in known])
+                later.append(c)
         self._add(list(plain))
-        for c, parts in split.items():
-            if c not in known:
-                known[c] = b"".join(map(known.__getitem__, parts))
+        for c in later:
+            word, marks = match(c).groups()
+            lower = word.lower()
+            known[c] = (known[word] if word in known else known[lower]) + known[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none), without special tokens, as bytes."""
-        known = self.known
         out: list[bytes] = []
         for i in range(0, len(texts), 256):
             split = [(self.ODD.search(t) and ASCII_SPACE.split(t)) or t.split() if t else [] for t in texts[i : i + 256]]
-            if len(known) > self.limit:
-                known.clear()
-            found = [list(map(known.get, chunks)) for chunks in split]
+            if len(self.known) > self.limit // 2:
+                self.known, self.old = {}, self.known
+            known = self.known
             new: set[str] = set()
-            for chunks, own in zip(split, found, strict=True):
-                if None in own:
-                    new.update(c for c, x in zip(chunks, own, strict=True) if x is None)
+            for chunks in split:
+                new.update(filterfalse(known.__contains__, chunks))
             if new:
                 self._learn(new)
-                found = [list(map(known.__getitem__, chunks)) if None in own else own for chunks, own in zip(split, found, strict=True)]
-            out += map(b"".join, found)
+            get = known.__getitem__
+            out += [b"".join(map(get, chunks)) for chunks in split]
         return out
 
 

@@ -167,6 +167,16 @@ def test_word_cache_is_the_tokenizer(small, odd):
         assert np.frombuffer(ids, "<u2").tolist() == bpe(t)
 
 
+def test_word_cache_forgets_and_learns_again():
+    cache, plain = common.WordCache(common.tokenizer_path(), limit=40), common._tokenizer(common.tokenizer_path())
+    text = " ".join(f"Stra\u00dfe{k}, \u0395\u03bb\u03bb\u03ac\u03c2. WORD{chr(97 + k % 26)}!? it's na\u00efve... \u00bd, x\u00b2; I\u0307x, end." for k in range(60))
+    for _ in range(5):
+        for piece in (text, text.upper(), text.title(), "", None):
+            own = np.frombuffer(cache.encode([piece])[0], "<u2").tolist()
+            assert own == plain.encode(piece or "", add_special_tokens=False).ids
+    assert cache.old
+
+
 def test_rollups(spark, small, odd, nothing):
     labels = spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1")
     gone = {r["doc_id"] for r in labels.collect()}
