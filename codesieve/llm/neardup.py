@@ -9,7 +9,9 @@ the text's. Two signatures agree in a component with the probability Jaccard sim
 Bands of the signature make buckets. In a bucket nobody is paired with all others: each text is paired with two leaders,
 the one that meets most texts over all buckets (the hub: the origin of a family of copies) and one picked by a hash of
 text and bucket, so over the bands the leaders vary. Texts that fail against both of their bucket's leaders go on, among
-themselves, to further rounds. A pair counts if the exact Jaccard similarity of its shingle sets is at least the
+themselves, to further rounds. Where a bucket then still holds texts of several classes, those outside its largest class
+are paired with the texts of the other classes, so no two texts that share a bucket are left in different classes
+without a test. A pair counts if the exact Jaccard similarity of its shingle sets is at least the
 threshold; pairs whose signatures rule that out are dropped first. Classes are the connected components, found by label
 propagation with pointer jumping over tables in the shared folder.
 
@@ -198,7 +200,25 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
+def untested_pairs(met: DataFrame, label: DataFrame, tested: DataFrame, chunk: int = 64) -> DataFrame:
+    """Pairs (a, b) of texts that share a bucket of met (doc_id, bucket) but no class of label and are not in tested.
+
+    In a bucket each text outside the class that has most texts there meets all of the other classes. These texts are
+    dealt into chunks, each of which is a join key of its own, so a large bucket is spread over many tasks.
+    """
+    named = met.join(label, met["doc_id"] == label["id"], "left").select("doc_id", "bucket", F.coalesce("label", "doc_id").alias("label"))
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    mixed = mixed.select("bucket", F.col("most.label").alias("main"), F.ceil((F.col("m") - F.col("most.n")) / chunk).cast("int").alias("chunks"))
+    members = materialise(named.join(mixed, "bucket"), "mixed-buckets")
+    few = members.filter("label <> main").select("bucket", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), F.col("doc_id").alias("x"), F.col("label").alias("of_x"))
+    many = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("doc_id").alias("y"), F.col("label").alias("of_y"), (F.col("label") == F.col("main")).alias("in_main"))
+    pairs = few.join(many, ["bucket", "chunk"]).filter("of_x <> of_y and (in_main or x < y)")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return materialise(pairs.join(tested, ["a", "b"], "left_anti"), "untested")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of every row of docs."""
     rows = docs.select("doc_id", "text")
     signed = materialise(rows.mapInArrow(_sign, "doc_id bigint, key binary, bands array<bigint>, signature binary"), "signatures")
@@ -215,24 +235,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) ->
     def alike(a: bytes, b: bytes) -> bool:
         return int((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).sum()) >= least
 
-    found = []
-    for k in range(rounds):
-        leaders = left.groupBy("bucket").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("h"), F.min(F.struct(F.xxhash64("doc_id", "bucket"), "doc_id")).alias("r"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        leaders = leaders.select("bucket", (-F.col("h").getField("col2")).alias("hub"), F.col("r.doc_id").alias("other"))
-        tried = left.join(leaders, "bucket")
-        pairs = tried.select(F.col("doc_id").alias("a"), F.explode(F.array("hub", "other")).alias("b")).filter("a <> b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sig = texts.select("doc_id", "signature")
+    def verify(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs whose signatures allow the threshold, those of them that reach it)."""
+        met_ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        sig = materialise(texts.select("doc_id", "signature").join(met_ids, "doc_id", "left_semi"), "pair-signatures")
         pairs = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("signature").alias("s")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("signature").alias("t")), "b")
         pairs = materialise(pairs.mapInArrow(_pair_rows("s", "t", alike, ["a", "b"]), "a bigint, b bigint, similar boolean").filter("similar").select("a", "b"), "candidates")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = only_wanted(rows, "doc_id", materialise(wanted, "wanted")).mapInArrow(_set_rows, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
         sets = materialise(sets, "shingle-sets")
         full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
-        links = materialise(full.mapInArrow(_pair_rows("s", "t", lambda x, y: jaccard(x, y) >= threshold, ["a", "b"]), "a bigint, b bigint, similar boolean").filter("similar").select("a", "b"), "links")
-        found.append(links)
-        if k == rounds - 1:
-            break
+        links = full.mapInArrow(_pair_rows("s", "t", lambda x, y: jaccard(x, y) >= threshold, ["a", "b"]), "a bigint, b bigint, similar boolean").filter("similar").select("a", "b")
+        return pairs, materialise(links, "links")
+
+    tested = edges = None
+    for _ in range(rounds):
+        leaders = left.groupBy("bucket").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("h"), F.min(F.struct(F.xxhash64("doc_id", "bucket"), "doc_id")).alias("r"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+        leaders = leaders.select("bucket", (-F.col("h").getField("col2")).alias("hub"), F.col("r.doc_id").alias("other"))
+        tried = left.join(leaders, "bucket")
+        pairs = tried.select(F.col("doc_id").alias("a"), F.explode(F.array("hub", "other")).alias("b")).filter("a <> b")
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs, links = verify(pairs)
+        tested, edges = (pairs, links) if tested is None else (tested.unionByName(pairs), edges.unionByName(links))
         # What is linked to neither leader of a bucket goes on in that bucket, without the leaders.
         linked = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         is_linked = lambda c: linked.select(F.col("a").alias("doc_id"), F.col("b").alias(c))
@@ -240,10 +264,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) ->
         left = materialise(rest.select("doc_id", "bucket", "degree"), "left")
         if left.isEmpty():
             break
-    edges = found[0]
-    for f in found[1:]:
-        edges = edges.unionByName(f)
     label = components(edges)
+    pairs = untested_pairs(met, label, tested)
+    if not pairs.isEmpty():
+        label = components(edges.unionByName(verify(pairs)[1]))
     classes = groups.join(label, groups["rep"] == label["id"], "left").select("key", F.coalesce("label", "rep").alias("class_id"))
     return signed.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 

@@ -396,6 +396,36 @@ def test_near_duplicates(spark, small, odd, nothing):
     assert kept.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11)] + [(True, None)]
 
 
+def test_chains_of_copies_are_one_class(spark):
+    rng = np.random.default_rng(80)
+    rows = []
+    for _ in range(6):  # each text is near the next, few are near the first; some are near none
+        t = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(150)]
+        for _ in range(25):
+            rows.append((len(rows), " ".join(t)))
+            for _ in range(int(rng.choice([1, 3, 5]))):
+                t[int(rng.integers(0, 150))] = "".join(rng.choice(list("abcdefgh"), 6))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for rounds in (1, 2):
+        assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, rounds=rounds).collect()} == brute_classes(rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 64])
+def test_untested_pairs(spark, chunk):
+    rng = np.random.default_rng(81)
+    met = sorted({(int(d), int(b)) for d, b in zip(rng.integers(0, 60, 300), np.minimum(rng.integers(0, 30, 300), 12))})
+    label = {d: d // 20 * 20 if d < 40 else d for d in range(60)}
+    tested = {(a, a + 7) for a in range(0, 50, 3)}
+    in_bucket = defaultdict(list)
+    for d, b in met:
+        in_bucket[b].append(d)
+    want = {(x, y) for own in in_bucket.values() for x in own for y in own if x < y and label[x] != label[y]} - tested
+    got = neardup.untested_pairs(
+        spark.createDataFrame(met, "doc_id bigint, bucket bigint"), spark.createDataFrame([(d, c) for d, c in label.items() if d < 40], "id bigint, label bigint"), spark.createDataFrame(sorted(tested), "a bigint, b bigint"), chunk
+    ).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)
