@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Shingles are runs of five lower-cased words (all words of a shorter text), weighted 1 + log2 of their number in the
-text. ProbMinHash: each shingle is a Poisson process whose rate is its weight; each arrival, in order of time, bids for
-one random component of the signature, and the earliest bid holds it. Arrivals beyond the time by which every component
-is taken cannot matter, so the processes stop there: a number of arrivals that depends on the signature's size, not on
-the text's. Two signatures agree in a component with the probability Jaccard similarity of the two texts.
+Shingles are runs of five lower-cased words (all words of a shorter text). ProbMinHash: each shingle is a Poisson process
+whose rate is its weight; each arrival, in order of time, bids for one random component of the signature, and the
+earliest bid holds it. Arrivals beyond the time by which every component is taken cannot matter, so the processes stop
+there: a number of arrivals that depends on the signature's size, not on the text's. Two signatures agree in a component
+with the probability Jaccard similarity of the two texts. The weights are 1 here, whatever a shingle's number in the text:
+then that similarity is the Jaccard similarity of the shingle sets, by which a pair counts.
 
 Bands of the signature make buckets. In a bucket nobody is paired with all others: each text is paired with two leaders,
 the one that meets most texts over all buckets (the hub: the origin of a family of copies) and one picked by a hash of
@@ -80,15 +81,14 @@ def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, n
     return h, many
 
 
-def _sets(h: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes of each text in turn, their numbers, text of each)."""
+def _sets(h: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of each text in turn, text of each)."""
     text = np.repeat(np.arange(len(many)), many)
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(new)
-    return h[at], np.diff(np.append(at, len(h))), text[at]
+    return h[new], text[new]
 
 
 def prob_minhash(h: np.ndarray, weight: np.ndarray, text: np.ndarray, n_texts: int, size: int = SIZE) -> np.ndarray:
@@ -141,8 +141,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _slabs(texts):
             own = texts[a:b]
             h, many = shingles(own)
-            distinct, n, text = _sets(h, many)
-            signature = prob_minhash(distinct, 1 + np.log2(n), text, len(own))
+            distinct, text = _sets(h, many)
+            signature = prob_minhash(distinct, np.ones(len(distinct)), text, len(own))
             bands = np.zeros((len(own), BANDS), U64)
             for k in range(ROWS):
                 bands = mix64(bands * U64(BASE) + signature[:, k::ROWS])
@@ -160,7 +160,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in _slabs(texts):
-            distinct, _, text = _sets(*shingles(texts[a:b]))
+            distinct, text = _sets(*shingles(texts[a:b]))
             cuts = np.searchsorted(text, np.arange(b - a + 1))
             sets = [distinct[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])

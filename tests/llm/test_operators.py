@@ -426,6 +426,19 @@ def test_untested_pairs(spark, chunk):
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
+def test_copies_that_differ_by_a_repeated_line(spark):
+    rng = np.random.default_rng(82)
+    rows = []
+    for n, line, times in [(60, 8, 50), (100, 15, 1000)] * 6:  # sets alike by 0.82 and 0.83, by numbers far less
+        base, more = (["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(k)] for k in (n, line))
+        for t in (base, base + more * times):
+            rows.append((len(rows), " ".join(t)))
+    want = brute_classes(rows)
+    assert want == {d: d // 2 * 2 for d in range(24)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)
