@@ -46,11 +46,13 @@ SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None):
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.children, self.parts = tag, parent, [], []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        if parent is not None:
+        if cut:  # its parent doesn't know it: it is parsed like any other, but no part of the tree
+            parent.parts.append(None)
+        elif parent is not None:
             parent.children.append(self)
             parent.parts.append(self)
 
@@ -69,38 +71,25 @@ def _noisy(tag: str, attributes: str, inside_article: bool) -> bool:
 def parse(page: str) -> Node:
     """The tree of the page without what never belongs to an article. A Node's parts are texts, blocks' ends and nodes."""
     root = Node("html", None)
-    here, cut, depth, articles = root, None, 0, 0
+    here, articles = root, 0
     at, end = 0, len(page)
     search = PART.search
     while at < end:
         m = search(page, at)
         stop = m.start() if m else end
-        if stop > at and cut is None:
+        if stop > at:
             here.parts.append(html.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop])
         if not m:
             break
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0] == "<" and cut is None:
+            if m[0] == "<":
                 here.parts.append("<")
-            elif m[0].startswith("<![CDATA[") and cut is None:
+            elif m[0].startswith("<![CDATA["):
                 here.parts.append(m[0][9:-3])
             continue
         name = name.lower()
-        if cut is not None:  # inside a cut subtree only its own element is counted
-            if name == cut:
-                if m[1]:
-                    depth -= 1
-                elif name not in VOID and not m[3].endswith("/"):
-                    depth += 1
-                if not depth:
-                    cut = None
-            elif not m[1] and name in RAW:
-                at = RAW[name].search(page, at).end()
-            elif m[1] and name in ("body", "html"):
-                cut = None
-            continue
         if m[1]:
             if name == "p" and here.tag != "p" and not _open(here, "p"):
                 continue
@@ -129,17 +118,13 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag in CLOSES[name]:
                 here = node.parent
-        if _noisy(name, m[3], articles > 0):
-            if name in RAW:
-                at = RAW[name].search(page, at).end()
-            elif name not in VOID and not m[3].endswith("/"):
-                cut, depth = name, 1
-            here.parts.append(None)
-            continue
+        cut = _noisy(name, m[3], articles > 0)
         if name in RAW:
             at = RAW[name].search(page, at).end()
+            if cut:
+                here.parts.append(None)
             continue
-        node = Node(name, here)
+        node = Node(name, here, cut)
         if name not in VOID and not m[3].endswith("/"):
             here = node
             articles += name in ("article", "main")

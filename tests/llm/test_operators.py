@@ -90,6 +90,15 @@ def test_main_text():
     assert htmltext.main_text("<body><ul><li><a href=a>one</a><li><a href=b>two</a></ul><div><p>" + "Long text of the story. " * 20 + "</p></div></body>").startswith("Long text")
 
 
+def test_unclosed_cut_elements_end_where_their_parents_do():
+    for ad in ("<p class=ad>Buy", "<div class=ad>Buy</p>", "<aside>Buy", "<nav><a href=x>Buy</a>", "<ul><li class=share>Buy<li class=share>Buy</ul>"):
+        page = f"<body><article><div>{ad}</div><p>Real text<p>More</p></article></body>"
+        assert htmltext.main_text(page) == "Real text More"
+    assert htmltext.main_text("<article><p class=ad>Buy<p>Real text</p><p>More</p></article>") == "Real text More"
+    assert htmltext.main_text("<ul><li class=share>Buy<li>Real text<li>More</ul>") == "Real text More"
+    assert htmltext.main_text("<article><nav><nav>In</nav>Out</nav><p>Real text</article>") == "Real text"
+
+
 def test_pages_are_their_articles(spark):
     import html
 
