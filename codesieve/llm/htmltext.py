@@ -3,8 +3,10 @@
 For every node of the page's tree: characters, tags, characters inside links and link tags. The composite density of a
 node is its characters per tag, damped where links hold much of them; a node's density sum is that of its children. The
 subtree with the largest sum, among those whose density reaches the least density on the path from that subtree to the
-body, is the article. Subtrees that are never part of an article by their element or by the words in their class, id or
-role (menus, headers and footers of the page, sidebars, notices, adverts, forms, comments) are cut before.
+body, is the article. Subtrees that are never part of an article by their element, or because they are hidden, are cut
+before. So are those whose class, id or role names them menus, sidebars, notices, adverts or comments, and forms, but not
+where they hold the page's only article, main or h1, or most of the plain text of a page that has no article or main
+besides, nor if nothing would be left: then density decides.
 
 Nulls and odd rows: a null or empty page gives an empty text and 0 characters; unclosed and stray tags are repaired as
 browsers do for paragraphs, list items and table cells; rows that repeat are extracted each on their own; a null page_id
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 #: Parts of a page: comments, CDATA, declarations, tags with quoted attributes, or a lone "<".
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 RAW = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no article text.
 CUT = frozenset("script style template noscript nav footer aside form button select option input textarea dialog menu svg math canvas iframe object audio video map head title xmp noembed noframes".split())
@@ -35,21 +37,25 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl div article section main body html td th aside nav header footer blockquote form figure".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details div dl dd dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
-#: Words in class, id or role, between hyphens, underscores, blanks or camel case.
+#: A class, id or role is noise if all its words (between hyphens, underscores or camel case) are, but for NEUTRAL ones.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion popup modal overlay cookie cookies consent gdpr notice alert notification newsletter subscribe subscription signup login paywall nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets related recommended recommendations share sharing social comment comments respond reply replies disqus footer masthead toolbar search searchbox skip complementary contentinfo toc tags taglist outbrain taboola hidden".split()
 )
+NEUTRAL = frozenset("area bar block box container item items list section wrap wrapper".split())
+LANDMARKS = frozenset(("article", "main", "h1"))
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.children, self.parts = tag, parent, [], []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.doubtful = False
         if cut:  # its parent doesn't know it: it is parsed like any other, but no part of the tree
             parent.parts.append(None)
         elif parent is not None:
@@ -57,15 +63,57 @@ class Node:
             parent.parts.append(self)
 
 
-def _noisy(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in CUT or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _noise(tag: str, attributes: str, inside_article: bool) -> str:
+    """"cut" for what is never part of an article, "doubtful" for what its name or a form says is none, or ""."""
+    if (tag in CUT and tag != "form") or (tag == "header" and not inside_article):
+        return "cut"
+    verdict = "doubtful" if tag == "form" else ""
+    if not attributes or tag in ("html", "body"):
+        return verdict
     for m in ATTRIBUTE.finditer(attributes):
-        if not NOISE.isdisjoint(w.lower() for w in WORD.findall(m[2] or m[3] or m[4] or "")):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I))
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and HIDING.search(value)):
+            if tag not in ("article", "main"):
+                return "cut"
+        elif name in ("class", "id", "role") and tag not in ("article", "main"):
+            for token in value.split():
+                words = {w.lower() for w in WORD.findall(token)} - NEUTRAL
+                if words and words <= NOISE:
+                    verdict = "doubtful"
+    return verdict
+
+
+def _prune(root: Node) -> None:
+    """Takes the doubtful subtrees out of the tree, where that is not the page's main part."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(reversed(node.children))
+    if not any(n.doubtful for n in order):
+        return
+    plain: dict[Node, int] = {}
+    marks: dict[Node, bool] = {}
+    for node in reversed(order):
+        own = sum(len(SPACE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
+        plain[node] = 0 if node.tag == "a" else own + sum(plain[c] for c in node.children)
+        marks[node] = node.tag in LANDMARKS or any(marks[c] for c in node.children)
+    inside: dict[Node, bool] = {root: False}
+    for node in order[1:]:
+        inside[node] = node.doubtful or inside[node.parent]
+    outside = {n.tag for n in order if n.tag in LANDMARKS and not inside[n]}
+    kept = {n for n in order if n.doubtful and ((marks[n] and not outside) or (2 * plain[n] > plain[root] and outside <= {"h1"}))}
+    left, stack = 0, [root]  # characters outside of what is to go
+    while stack:
+        node = stack.pop()
+        left += sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        stack.extend(c for c in node.children if not c.doubtful or c in kept)
+    if not left:
+        return
+    for node in order:
+        if any(c.doubtful and c not in kept for c in node.children):
+            node.parts = [None if isinstance(p, Node) and p.doubtful and p not in kept else p for p in node.parts]
+            node.children = [c for c in node.children if not c.doubtful or c in kept]
 
 
 def parse(page: str) -> Node:
@@ -118,16 +166,18 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag in CLOSES[name]:
                 here = node.parent
-        cut = _noisy(name, m[3], articles > 0)
+        noise = _noise(name, m[3], articles > 0)
         if name in RAW:
             at = RAW[name].search(page, at).end()
-            if cut:
+            if noise:
                 here.parts.append(None)
             continue
-        node = Node(name, here, cut)
+        node = Node(name, here, noise == "cut")
+        node.doubtful = noise == "doubtful"
         if name not in VOID and not m[3].endswith("/"):
             here = node
             articles += name in ("article", "main")
+    _prune(root)
     return root
 
 

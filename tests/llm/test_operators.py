@@ -99,6 +99,20 @@ def test_unclosed_cut_elements_end_where_their_parents_do():
     assert htmltext.main_text("<article><nav><nav>In</nav>Out</nav><p>Real text</article>") == "Real text"
 
 
+def test_cuts_are_by_whole_names_and_attributes():
+    story = "<p>Long text of the story.</p>" * 9
+    want = " ".join(["Long text of the story."] * 9)
+    for name in ("layout with-sidebar", "site-content no-sidebar", "share-price", "left-side", "search-results", "sidebar"):
+        assert htmltext.main_text(f"<body><div class='{name}'>{story}</div></body>") == want
+        assert htmltext.main_text(f"<body><div class='{name}'><h1>Head</h1>{story}</div><footer>Foot</footer></body>") == "Head " + want
+    assert htmltext.main_text(f"<body><form id=aspnet><article>{story}</article><div class=comments><p>Reader</p></div></form></body>") == want
+    assert htmltext.main_text(f"<body><article>{story}</article><div class='comments-list'>{story * 3}</div></body>") == want
+    assert htmltext.main_text("<p><a title='A hidden gem' href=x>link</a> and <b data-t='the hidden valley'>text</b> here") == "link and text here"
+    for hidden in ("hidden", "hidden=''", "aria-hidden=true", "style='color:red; display: none'"):
+        assert htmltext.main_text(f"<article><p>Seen</p><p {hidden}>Not seen</p></article>") == "Seen"
+    assert htmltext.main_text("<div class=ad><p>One</p></div><div class=share><p>Two</p></div>") == "One Two"
+
+
 def test_pages_are_their_articles(spark):
     import html
 
