@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import types as T
 from pyspark.sql.functions import udf, udtf
 
-from .evaluate import MOST, Unknown, inflate
+from .evaluate import Unknown, inflate
 
 # The archive's cookie.
 MAGIC = b"MEI\014\013\012\013\016"
@@ -77,10 +77,10 @@ def entries(data: bytes):
 
 
 def member(data: bytes, position: int, packed: int, flag: int) -> bytes | None:
-    """Contents of an entry, inflated within the size limit."""
+    """The whole contents of an entry; None if it is damaged or inflates beyond the size limit."""
     raw = data[position : position + packed]
     try:
-        return inflate(raw, zlib.decompressobj()) if flag == 1 else raw[:MOST]
+        return inflate(raw, zlib.decompressobj()) if flag == 1 else raw
     except (zlib.error, Unknown):
         return None
 

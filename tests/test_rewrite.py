@@ -131,3 +131,12 @@ def test_rdata():
     struct.pack_into("<8s8xII", head, 88, b".rdata\0\0", 10, 300)
     head[300:310] = b"0123456789"
     assert archive.rdata(bytes(head)) == b"0123456789" and archive.rdata(b"x") is None
+
+
+def test_long_texts_and_entries_are_whole():
+    from codesieve.operators import archive, formats
+
+    source = "x = 1\n" * 300_000
+    assert formats.decode("wodx", source) == (source, "ok")
+    data = source.encode()
+    assert archive.member(b"head" + data, 4, len(data), 0) == data
