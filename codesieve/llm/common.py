@@ -5,16 +5,19 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import filterfalse
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Unsigned 64-bit arithmetic wraps on purpose in the hashes below.
@@ -61,6 +64,21 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(p, True)
 
 
+class Scratch:
+    """The tables of one run: put() is materialise(), drop() discards all but those named."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialise(df, name))
+        return self.tables[-1]
+
+    def drop(self, *keep: DataFrame) -> None:
+        discard(*(t for t in self.tables if not any(t is k for k in keep)))
+        self.tables = list(keep)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) of the JVM for a path in any store that Spark knows."""
     jvm = spark._jvm
@@ -68,6 +86,28 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows with about ``size`` bytes of a text column, so that Python objects are made of a
+    slice at a time; at the end what the task's allocators hold unused goes back to the system, as workers live on."""
+    for batch in batches:
+        if len(batch):
+            ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+                yield batch.slice(at, to - at)
+                at = to
+    release()
+
+
+def release() -> None:
+    """Gives free memory of Arrow's pool and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def open_store(uri: str):
     """(pyarrow file system, path within it), for executors that write files of a format that Spark's writers lack."""
     from pyarrow import fs
@@ -266,33 +306,35 @@ def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def only_wanted(rows: DataFrame, key: str, wanted: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
-    """The rows whose ``key`` (bigint) is in ``wanted`` (distinct keys): rows joined to wanted, left semi.
+    """Rows that have all those whose ``key`` (bigint) is in ``wanted`` (a table of distinct keys), and few others.
 
-    Where a Bloom filter of the keys (10 bits each) fits into most_bytes, it is broadcast, so that nearly all other rows
-    are dropped before the shuffle of the join; with more keys than that the join does it alone.
+    Where a Bloom filter of the keys (10 bits each) fits into most_bytes, it is broadcast: no shuffle, and about one other
+    row in a hundred stays. With more keys than that, a semi-join leaves exactly the rows that are wanted.
     """
     n = wanted.count()
-    if n and 10 * n <= 8 * most_bytes:
-        bits = 8 * (-(-10 * n // 8))
-
-        def build(batches):
-            table = np.zeros(bits, bool)
-            for batch in batches:
-                for at in _bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                    table[at] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
-
-        parts = wanted.select(key).coalesce(1).mapInArrow(build, "bits binary").collect()  # most_bytes at most
-        held = rows.sparkSession.sparkContext.broadcast(parts[0]["bits"])
-
-        def thin(batches):
-            table = np.frombuffer(held.value, np.uint8)
-            for batch in batches:
-                ids = batch.column(batch.schema.get_field_index(key))
-                keep = ids.is_valid().to_numpy(zero_copy_only=False)
-                for at in _bloom_places(ids.fill_null(0).to_numpy(zero_copy_only=False), bits):
-                    keep &= (table[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).astype(bool)
-                yield batch.filter(pa.array(keep))
-
-        rows = rows.mapInArrow(thin, rows.schema)
-    return rows.join(wanted, key, "left_semi")
+    if 10 * n > 8 * most_bytes:
+        return rows.join(wanted, key, "left_semi")
+    if not n:
+        return rows.filter("false")
+    bits = 8 * (-(-10 * n // 8))
+
+    def build(batches):
+        table = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for at in _bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(table, (at >> U64(3)).astype(np.int64), np.uint8(128) >> (at & U64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
+
+    parts = wanted.select(key).coalesce(1).mapInArrow(build, "bits binary").collect()  # most_bytes at most
+    held = rows.sparkSession.sparkContext.broadcast(parts[0]["bits"])
+
+    def thin(batches):
+        table = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(key))
+            keep = ids.is_valid().to_numpy(zero_copy_only=False)
+            for at in _bloom_places(ids.fill_null(0).to_numpy(zero_copy_only=False), bits):
+                keep &= (table[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(thin, rows.schema)

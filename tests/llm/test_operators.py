@@ -433,20 +433,71 @@ def test_chains_of_copies_are_one_class(spark):
         assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, rounds=rounds).collect()} == brute_classes(rows)
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 64])
-def test_untested_pairs(spark, chunk):
+def family(rng, kind, members, length):
+    """Copies of one text with changes of a kind, many of them alike by about the threshold."""
+    words = lambda k: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(k)]
+    base, rows = words(length), []
+    for _ in range(members):
+        t = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            at = int(rng.integers(0, len(t)))
+            if kind == "replaced" or (kind == "mixed" and rng.random() < 0.5):
+                t[at] = words(1)[0]
+            elif kind == "cut" or (kind == "mixed" and rng.random() < 0.5):
+                del t[at : at + 3]
+            elif kind == "grown":
+                t[at:at] = words(2)
+            else:  # one of a few changes that others make as well
+                t[at // 7 * 7 % len(t)] = "edited"
+        rows.append(" ".join(t))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["replaced", "cut", "grown", "shared", "mixed"])
+def test_pairs_across_classes_are_all_found(spark, kind):
+    """across() against all pairs: no similar pair of a far text and a near one, or in the last round of two far ones, is missed."""
     rng = np.random.default_rng(81)
-    met = sorted({(int(d), int(b)) for d, b in zip(rng.integers(0, 60, 300), np.minimum(rng.integers(0, 30, 300), 12))})
-    label = {d: d // 20 * 20 if d < 40 else d for d in range(60)}
-    tested = {(a, a + 7) for a in range(0, 50, 3)}
-    in_bucket = defaultdict(list)
-    for d, b in met:
-        in_bucket[b].append(d)
-    want = {(x, y) for own in in_bucket.values() for x in own for y in own if x < y and label[x] != label[y]} - tested
-    got = neardup.untested_pairs(
-        spark.createDataFrame(met, "doc_id bigint, bucket bigint"), spark.createDataFrame([(d, c) for d, c in label.items() if d < 40], "id bigint, label bigint"), spark.createDataFrame(sorted(tested), "a bigint, b bigint"), chunk
-    ).collect()
-    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    rows = family(rng, kind, 90, 120)
+    sets = [set(neardup.shingles([t])[0].tolist()) for t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    hub = 7
+    members = [(0, hub, i, not (i == hub or alike(i, hub)), hub if i == hub or alike(i, hub) else 1000 + i) for i in range(len(rows))]
+    table = spark.createDataFrame(members, "round int, hub bigint, node bigint, far boolean, label bigint")
+    packed = spark.createDataFrame([(i, bytearray(np.sort(np.array(sorted(s), np.uint64)).tobytes())) for i, s in enumerate(sets)], "node bigint, shingles binary")
+    for last in (0, 1):
+        scratch = neardup.Scratch()
+        got = {(r["a"], r["b"]) for r in neardup.across(table, packed, 0.8, last, scratch).collect()}
+        # Pairs count as found where the pairs found connect the two, as those of texts near the reference do.
+        label = {i: m[4] for i, m in enumerate(members)}
+
+        def find(x):
+            while label.get(x, x) != x:
+                x = label[x]
+            return x
+
+        for i, j in got:
+            if alike(i, j):
+                label[find(i)] = find(j)
+        far = [m[3] for m in members]
+        for i in range(len(rows)):
+            for j in range(i):
+                if (far[i] != far[j] or (last == 0 and far[i])) and alike(i, j):
+                    assert find(i) == find(j), (i, j)
+        assert len(got) < len(rows) * len(rows) / 4
+
+
+def test_large_families_are_whole(spark):
+    rng = np.random.default_rng(83)
+    rows = [(n, t) for n, t in enumerate(x for kind in ("replaced", "cut", "grown", "shared", "mixed") for x in family(rng, kind, 80, 130))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == brute_classes(rows)
+
+
+def test_two_texts_under_one_id(spark):
+    words = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(5, words("a")), (5, words("b")), (7, words("a")), (8, words("b")), (3, words("b"))]
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (8, 3)]
 
 
 def test_copies_that_differ_by_a_repeated_line(spark):
