@@ -11,26 +11,31 @@ smaller doc_id. A suffix array of everything would move each byte MIN times, so
 2. In every MIN-byte window the K-byte string of the least hash is an anchor (about one position in 14); equal windows
    have equal anchors. Each part of the corpus sends the hashes of its distinct anchors, 5 bytes each, to buckets, which
    send back a bit for each: does it occur in two documents or parts?
-3. Only around such anchors do contexts (the up to 76 bytes of all windows that hold the anchor) go to the bucket of the
-   anchor, once for each part and distinct context. The bucket sorts the suffixes at all window starts, finds the
-   intervals whose common prefix is MIN bytes or more and their smallest doc_id, and sends a bit for each window back.
+3. Only for such anchors do contexts (the up to MIN bytes from the anchor on, and the up to MIN - K before it) go to the
+   bucket of the anchor, once for each part and distinct context. There extents() builds the enhanced suffix array of the
+   suffixes at the anchors, scans its common prefixes with a stack, and extends each interval of the tree to the left, by
+   the order of the bytes before: where these differ the repeat is maximal. Each context gets the extent, left and right,
+   of the maximal repeats of MIN bytes and more that it shares with a smaller document: all occurrences count, not only
+   neighbours in the array.
    An anchor with very many contexts (the edges of a passage that is in a third of all documents) is split: its windows
-   go to buckets by their own hash, so no bucket gathers the occurrences of one anchor.
-4. Each part marks the windows and adds up what they cover.
+   go to buckets by their own hash, so no bucket gathers the occurrences of one anchor; there the intervals at depth MIN
+   are the windows that are equal.
+4. Each part adds up what these extents cover.
 
-So what is shuffled is the texts (three times, the last time only those with candidates), 5 bytes an anchor, and the
-contexts of repeated regions. No task holds more than a part of the texts or a bucket; both are of a fixed size, their
-number grows with the input.
+So what is shuffled is the texts (for steps 2 and 3, and those with something to remove once more), 5 bytes an anchor, and
+the contexts of repeated regions. No task holds more than a part of the texts or a bucket. Their size grows with the square
+root of the input up to a fixed one, so that the messages between parts and buckets do not grow with its square before.
 
 Nulls and odd rows: a null text is empty; nothing is removed from documents shorter than MIN bytes, from those with a
-null doc_id (which count for nobody else either), or between rows of one doc_id; extra columns are ignored; an empty
-table gives no rows.
+null doc_id (which count for nobody else either), or between rows of one doc_id; rows that repeat are judged once and
+reported each; extra columns are ignored by repeat_report() and kept by remove_repeats(); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, discard, materialise, mix64, sliding, window_hash
+from .common import U64, Scratch, mix64, only_wanted, release, sliding, window_hash
 
 MIN, K = 50, 24
 W = MIN - K + 1  # grams in a window; windows that may hold an anchor
@@ -178,10 +183,12 @@ def _cut(bucket: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1))
 
 
-def _texts(table: pa.Table) -> _Part:
-    """Rows with a text, in a fixed order."""
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0], r[1]))
-    return _Part(np.array([r[0] for r in rows], np.int64), [r[1].encode("utf-8", "surrogatepass") for r in rows])
+def _texts(table: pa.Table, copies: pa.Table) -> tuple[_Part, list[bytes]]:
+    """The part's distinct rows that are no copies, in a fixed order, and their keys."""
+    gone = set(zip(copies.column("doc_id").to_pylist(), copies.column("key").to_pylist()))
+    rows = {(d, k): t for d, k, t in zip(table.column("doc_id").to_pylist(), table.column("key").to_pylist(), table.column("text").to_pylist()) if (d, k) not in gone}
+    order = sorted(rows)
+    return _Part(np.array([d for d, _ in order], np.int64), [rows[r].encode("utf-8", "surrogatepass") for r in order]), [k for _, k in order]
 
 
 def _blobs(rows: list[tuple], names: str, kinds: list) -> pa.Table:
@@ -189,9 +196,12 @@ def _blobs(rows: list[tuple], names: str, kinds: list) -> pa.Table:
 
 
 def _send_anchors(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, copies: pa.Table) -> pa.Table:
+        names, kinds = "part bucket hashes notes", [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        if not len(table):
+            return _blobs([], names, kinds)
         part = table.column("part")[0].as_py()
-        p = _texts(table)
+        p, _ = _texts(table, copies)
         _, doc, h = p.anchors()
         order, first, _, bucket = _distinct(h, doc, p.ids, buckets)
         n = np.diff(np.append(first, len(h)))
@@ -201,7 +211,7 @@ def _send_anchors(buckets: int):
         note = (np.minimum(n, 127) | (several << 7)).astype(np.uint8)
         cut = _cut(bucket, buckets)
         rows = [(part, b, short[i:j].tobytes(), note[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-        return _blobs(rows, "part bucket hashes notes", [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+        return _blobs(rows, names, kinds)
 
     return run
 
@@ -263,23 +273,22 @@ def _group(key: np.ndarray, ids: np.ndarray, bucket_key: np.ndarray, buckets: in
     return first, index, ids[first], _by_bucket(bucket_key[first], buckets)
 
 
-RESULT = "doc_id bigint, key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-#: kind 0: a finished document; 1: one with candidates (text, places); 2: contexts of a bucket; 3: windows of a bucket.
-STEP = f"kind int, part bigint, bucket bigint, blob binary, smallest binary, text string, {RESULT}"
-STEP_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-STEP_NAMES = "kind part bucket blob smallest text doc_id key n_bytes n_removed n_spans kept_sha256 kept"
+#: kind 1: a document with candidates and their places; 2: contexts of a bucket; 3: windows of a bucket.
+STEP = "kind int, part bigint, bucket bigint, blob binary, smallest binary, doc_id bigint, key binary, n_bytes bigint, places binary, wplaces binary"
+STEP_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+STEP_NAMES = "kind part bucket blob smallest doc_id key n_bytes places wplaces"
+#: What is sent back to a part: the bits of a bucket, or a document that is a copy.
+BACK = "part bigint, bucket bigint, n bigint, several binary, heavy binary, doc_id bigint, key binary"
 
 
-def _key(text: bytes) -> bytes:
-    return hashlib.md5(text).digest()
-
-
-def _send_contexts(buckets: int, keep: bool):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _send_contexts(buckets: int):
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not len(docs):
             return _blobs([], STEP_NAMES, STEP_TYPES)
         part = docs.column("part")[0].as_py()
-        p = _texts(docs)
+        is_copy = back.column("bucket").is_null()
+        answers = back.filter(pa.compute.invert(is_copy))
+        p, keys = _texts(docs, back.filter(is_copy))
         at, doc, h = p.anchors()
         _, first, index, bucket = _distinct(h, doc, p.ids, buckets)
         level = np.zeros(len(first), np.uint8)
@@ -291,13 +300,14 @@ def _send_contexts(buckets: int, keep: bool):
             level[cut[b] : cut[b + 1]] = bits[0] + bits[1]
         own = level[index] if len(index) else np.zeros(0, np.uint8)
         rows: list[tuple] = []
-        nothing = (None,) * 7
+        nothing = (None,) * 5
         # Contexts of ordinary anchors.
         i = np.flatnonzero(own == 1)
         context = _contexts(p, at[i], doc[i])
         f, context_of, smallest, bk = _group(_row_hash(context), p.ids[doc[i]], h[i], buckets)
         c = _cut(bk, buckets)
-        rows += [(2, part, b, context[f[x:y]].tobytes(), smallest[x:y].astype("<i8").tobytes(), None, *nothing) for b, (x, y) in enumerate(zip(c, c[1:])) if y > x]
+        rows += [(2, part, b, context[f[x:y]].tobytes(), smallest[x:y].astype("<i8").tobytes(), *nothing) for b, (x, y) in enumerate(zip(c, c[1:])) if y > x]
+        del context
         # Windows around heavy anchors, by themselves.
         j = np.flatnonzero(own == 2)
         starts = np.unique((at[j][:, None] - np.arange(W)[None, :])[_valid(p, at[j], doc[j])])
@@ -306,18 +316,15 @@ def _send_contexts(buckets: int, keep: bool):
         wh = _row_hash(windows)
         g, window_of, wsmallest, wb = _group(wh, p.ids[wdoc], wh, buckets)
         c = _cut(wb, buckets)
-        rows += [(3, part, b, windows[g[x:y]].tobytes(), wsmallest[x:y].astype("<i8").tobytes(), None, *nothing) for b, (x, y) in enumerate(zip(c, c[1:])) if y > x]
-        # Documents: those with candidates go on with the places of these.
+        rows += [(3, part, b, windows[g[x:y]].tobytes(), wsmallest[x:y].astype("<i8").tobytes(), *nothing) for b, (x, y) in enumerate(zip(c, c[1:])) if y > x]
+        # Documents with candidates go on with the places of these.
         a, z = np.searchsorted(doc[i], [np.arange(len(p.ids)), np.arange(len(p.ids)) + 1], side="left")
         wa, wz = np.searchsorted(wdoc, [np.arange(len(p.ids)), np.arange(len(p.ids)) + 1], side="left")
-        for d in range(len(p.ids)):
-            text = p.data[p.begin[d] : p.end[d]].tobytes()
-            if a[d] == z[d] and wa[d] == wz[d]:
-                rows.append((0, part, None, None, None, None, int(p.ids[d]), _key(text), len(text), 0, 0, hashlib.sha256(text).hexdigest(), text if keep else None))
-            else:
-                places = np.stack((at[i[a[d] : z[d]]] - p.begin[d], context_of[a[d] : z[d]])).astype("<u4").tobytes()
-                wplaces = np.stack((starts[wa[d] : wz[d]] - p.begin[d], window_of[wa[d] : wz[d]])).astype("<u4").tobytes()
-                rows.append((1, part, None, places, wplaces, text.decode("utf-8", "surrogatepass"), int(p.ids[d]), None, len(text), None, None, None, None))
+        for d in np.flatnonzero((a < z) | (wa < wz)).tolist():
+            places = np.stack((at[i[a[d] : z[d]]] - p.begin[d], context_of[a[d] : z[d]])).astype("<u4").tobytes()
+            wplaces = np.stack((starts[wa[d] : wz[d]] - p.begin[d], window_of[wa[d] : wz[d]])).astype("<u4").tobytes()
+            rows.append((1, part, None, None, None, int(p.ids[d]), keys[d], int(p.size[d]), places, wplaces))
+        release()
         return _blobs(rows, STEP_NAMES, STEP_TYPES)
 
     return run
@@ -329,30 +336,115 @@ def _valid(p: _Part, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (k <= (at - p.begin[doc])[:, None]) & (MIN - k <= (p.end[doc] - at)[:, None])
 
 
-def _sorted_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first of each group) of equal byte rows: the suffixes in lexicographic order, cut where neighbours' common prefix is shorter than the row."""
-    wide = -(-rows.shape[1] // 8) * 8
-    padded = np.zeros((len(rows), wide), np.uint8)
+def _words(rows: np.ndarray) -> list[np.ndarray]:
+    """The byte rows as big-endian 64-bit words, a column each."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     padded[:, : rows.shape[1]] = rows
-    words = padded.view(">u8").astype(U64)
-    order = np.lexsort(words.T[::-1])
-    s = words[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (s[1:] != s[:-1]).any(axis=1)
-    return order, np.flatnonzero(new)
+    return list(padded.view(">u8").astype(U64).T)
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the byte rows of a and b, at most ``most``."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
 
 
 def _smallest(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each byte row the smallest id among the rows equal to it."""
-    order, first = _sorted_groups(rows)
+    """For each byte row the smallest id among the rows equal to it: the intervals of the sorted rows at their full depth."""
+    words = _words(rows)
+    order = np.lexsort(words[::-1])
+    new = np.ones(len(rows), bool)
+    new[1:] = np.any([w[order[1:]] != w[order[:-1]] for w in words], axis=0)
+    first = np.flatnonzero(new)
     low = np.minimum.reduceat(ids[order], first) if len(first) else ids[:0]
     out = np.empty(len(rows), np.int64)
     out[order] = np.repeat(low, np.diff(np.append(first, len(rows))))
     return out
 
 
+def _left_extents(members: list[int], rank: list[int], number: list[int], before: list[int], ids: list[int]) -> list[tuple[int, int]]:
+    """(member, most bytes before the anchor that it shares with a member of a smaller id) of an interval of the tree.
+
+    In the order of the bytes before, read backwards, the nearest member of a smaller id on either side shares the most:
+    two scans with a stack. Where all share all bytes, the interval is not left-diverse here and one id decides.
+    """
+    by = sorted(members, key=rank.__getitem__)
+    x, y = by[0], by[-1]
+    if number[x] == number[y] and before[x] == before[y] == LEFT:
+        least = min(map(ids.__getitem__, by))
+        return [(i, LEFT) for i in by if ids[i] > least]
+    best = dict.fromkeys(by, -1)
+    for way in (by, by[::-1]):
+        stack: list[int] = []
+        for i in way:
+            while stack and ids[stack[-1]] >= ids[i]:
+                stack.pop()
+            if stack:
+                j = stack[-1]
+                shared = min(LEFT - (((number[i] ^ number[j]).bit_length() + 7) >> 3), before[i], before[j])
+                if shared > best[i]:
+                    best[i] = shared
+            stack.append(i)
+    return [(i, k) for i, k in best.items() if k >= 0]
+
+
+def extents(data: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes before the anchor, bytes from it) that each context shares, in repeats of MIN bytes and more, with one of a smaller id.
+
+    data: as _contexts() makes it. 0 and 0 where there is no such repeat; else the two reach over the union of all of them,
+    which is one piece, as each holds the anchor.
+    """
+    n = len(ids)
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not n:
+        return left, right
+    ahead, behind = data[:, LEFT:WIDE], data[:, LEFT - 1 :: -1][:, :LEFT]
+    before, after = data[:, WIDE].astype(np.int64), data[:, WIDE + 1].astype(np.int64)
+    # The suffix array of the contexts (an end is less than any byte), equal contexts in order of their ids.
+    order = np.lexsort([ids, before, *_words(behind)[::-1], after, *_words(ahead)[::-1]])
+    o, p = order[1:], order[:-1]
+    same = (data[o] == data[p]).all(axis=1)
+    # Of equal contexts all but those of the smallest id are covered as far as they reach; one of them goes on.
+    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    run = np.repeat(first, np.diff(np.append(first, n)))
+    full = (ids[order] > ids[order[run]]) & (before[order] + after[order] >= MIN)
+    left[order[full]], right[order[full]] = before[order[full]], after[order[full]]
+    u = order[first]
+    prefix = np.zeros(len(u), np.int64)  # common prefix of each distinct context and the one before it
+    prefix[1:] = _common(ahead[u[1:]], ahead[u[:-1]], np.minimum(after[u[1:]], after[u[:-1]]))
+    begin = np.flatnonzero(prefix < K)  # an anchor's contexts lie together
+    size = np.diff(np.append(begin, len(u)))
+    found_left, found_right = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+    # Anchors with two contexts: one interval each.
+    two = begin[size == 2]
+    if len(two):
+        x, y = u[two], u[two + 1]
+        reach = _common(behind[x], behind[y], np.minimum(before[x], before[y]))
+        good = (reach + prefix[two + 1] >= MIN) & (ids[x] != ids[y])
+        later = np.where(ids[x] > ids[y], two, two + 1)[good]
+        found_left[later], found_right[later] = reach[good], prefix[two + 1][good]
+    # The others: the tree of common-prefix intervals, each extended to the left.
+    for a, m in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
+        own = u[a : a + m]
+        number = [int.from_bytes(r, "big") for r in map(bytes, behind[own])]
+        many_before, many_ids = before[own].tolist(), ids[own].tolist()
+        rank = list(range(m))
+        for k, i in enumerate(sorted(range(m), key=lambda i: (number[i], many_before[i]))):
+            rank[i] = k
+        for depth, x, y in intervals(np.concatenate(([0], prefix[a + 1 : a + m])), K):
+            for i, k in _left_extents(list(range(x, y)), rank, number, many_before, many_ids):
+                if k + depth >= MIN:
+                    found_left[a + i] = max(found_left[a + i], k)
+                    found_right[a + i] = max(found_right[a + i], depth)
+    # What a context shares holds for its occurrences in the smallest document; the others are covered wholly, or as far.
+    spread = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    left[order] = np.maximum(left[order], found_left[spread])
+    right[order] = np.maximum(right[order], found_right[spread])
+    return left, right
+
+
 def _judge_contexts(table: pa.Table) -> pa.Table:
-    """For each context a mask of its windows that start in a smaller document elsewhere too; for each window a byte."""
+    """For each context its extents, a byte each; for each window a byte: does a smaller document have it?"""
     out = []
     bucket = table.column("bucket")[0].as_py()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "blob", "smallest"))), key=lambda r: r[:2])
@@ -362,76 +454,63 @@ def _judge_contexts(table: pa.Table) -> pa.Table:
             continue
         data = np.concatenate([np.frombuffer(r[2], np.uint8).reshape(-1, width) for r in own])
         ids = np.concatenate([np.frombuffer(r[3], "<i8") for r in own])
-        if kind == 3:
-            mask = (_smallest(data, ids) < ids).astype("<u4")
-        else:
-            mask = np.zeros(len(ids), "<u4")
-            before, after = data[:, WIDE], data[:, WIDE + 1]
-            base, first = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, MIN - 1, 1 << 64))
-            rolling = np.zeros(len(ids), U64)
-            for c in range(MIN):
-                rolling = rolling * base + data[:, c].astype(U64)
-            for a in range(W):
-                k = LEFT - a
-                if a:
-                    rolling = (rolling - data[:, a - 1].astype(U64) * first) * base + data[:, a + MIN - 1].astype(U64)
-                ok = np.flatnonzero((before >= k) & (after >= MIN - k))
-                h = rolling[ok]
-                by = np.argsort(h, kind="stable")  # windows that no other context has are out
-                s = h[by]
-                same = s[1:] == s[:-1]
-                twice = np.zeros(len(s), bool)
-                twice[1:] |= same
-                twice[:-1] |= same
-                pick = ok[by[twice]]
-                if len(pick):
-                    low = _smallest(data[pick, a : a + MIN], ids[pick])
-                    mask[pick[low < ids[pick]]] |= np.uint32(1 << k)
+        marks = (_smallest(data, ids) < ids).astype(np.uint8)[:, None] if kind == 3 else np.stack(extents(data, ids), axis=1).astype(np.uint8)
         at = 0
         for _, part, blob, _ in own:
             n = len(blob) // width
-            out.append((part, bucket, kind, mask[at : at + n].tobytes()))
+            out.append((part, bucket, kind, marks[at : at + n].tobytes()))
             at += n
+    release()
     return _blobs(out, "part bucket kind marks", [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
 
-def _finish(keep: bool):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text", "blob", "smallest"))), key=lambda r: (r[0], r[1]))
-        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "marks"))), key=lambda r: r[:2])
-        marks = {kind: np.concatenate([np.frombuffer(m, "<u4") for k, _, m in got if k == kind] or [np.zeros(0, "<u4")]) for kind in (2, 3)}
-        places = [[np.frombuffer(b, "<u4").reshape(2, -1).astype(np.int64) for b in r[2:4]] for r in rows]
-        low = {}
-        for kind in (2, 3):
-            low[kind] = np.full(len(marks[kind]), np.iinfo(np.int64).max)
-            for r, own in zip(rows, places):
-                np.minimum.at(low[kind], own[kind - 2][1], r[0])
-        out = []
-        shift = np.arange(W)[None, :]
-        for (doc_id, text, _, _), own in zip(rows, places):
-            b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            edge = np.zeros(len(b) + 1, np.int64)
-            at, index = own[0]
-            on = ((marks[2][index][:, None] >> shift.astype(np.uint32)) & 1).astype(bool) | (low[2][index] < doc_id)[:, None]
-            on &= (shift <= at[:, None]) & (at[:, None] - shift + MIN <= len(b))
-            starts = np.unique(np.concatenate(((at[:, None] - shift)[on], own[1][0][(marks[3][own[1][1]] > 0) | (low[3][own[1][1]] < doc_id)])))
-            edge[starts] += 1
-            edge[starts + MIN] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = b[~gone].tobytes()
-            spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-            whole = None
-            if keep:  # characters of which some bytes stay, stay whole
-                lead = (b & 0xC0) != 0x80
-                char = np.cumsum(lead) - 1
-                stays = np.zeros(char[-1] + 1 if len(b) else 0, bool)
-                np.logical_or.at(stays, char, ~gone)
-                whole = b[stays[char]].tobytes()
-            out.append((doc_id, _key(b.tobytes()), len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), whole))
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return _blobs(out, "doc_id key n_bytes n_removed n_spans kept_sha256 kept", kinds)
+SPANS = "doc_id bigint, key binary, n_removed bigint, n_spans bigint, spans binary"
 
-    return run
+
+def _find_spans(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents that lose something, with (begin, end) of each span as 32-bit integers."""
+    names, kinds = "doc_id key n_removed n_spans spans", [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    rows = list(zip(*(docs.column(c).to_pylist() for c in ("doc_id", "key", "n_bytes", "places", "wplaces"))))
+    got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "marks"))), key=lambda r: r[:2])
+    told, seen = (np.concatenate([np.frombuffer(m, np.uint8) for k, _, m in got if k == kind] or [np.zeros(0, np.uint8)]).astype(np.int64) for kind in (2, 3))
+    told = told.reshape(-1, 2)
+    places = [[np.frombuffer(b, "<u4").reshape(2, -1).astype(np.int64) for b in r[3:]] for r in rows]
+    low = [np.full(len(x), np.iinfo(np.int64).max) for x in (told, seen)]  # smallest id of the part with this context, or window
+    for r, own in zip(rows, places):
+        for k in (0, 1):
+            np.minimum.at(low[k], own[k][1], r[0])
+    out = []
+    for (doc_id, key, size, _, _), ((at, context), (starts, window)) in zip(rows, places):
+        before, after = np.minimum(at, LEFT), np.minimum(size - at, MIN)
+        left, right = told[context].T
+        own = low[0][context] < doc_id
+        here = own & (before + after >= MIN)
+        left, right = np.where(here, before, left), np.where(here, after, right)
+        on = left + right >= MIN
+        hit = starts[(seen[window] > 0) | (low[1][window] < doc_id)]
+        begin, end = np.concatenate(((at - left)[on], hit)), np.concatenate(((at + right)[on], hit + MIN))
+        if len(begin):
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], np.maximum.accumulate(end[order])
+            new = np.concatenate(([True], begin[1:] > end[:-1]))
+            spans = np.stack((begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]), axis=1)
+            out.append((doc_id, key, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.astype("<u4").tobytes()))
+    release()
+    return _blobs(out, names, kinds)
+
+
+def cut_spans(text: str, spans: bytes, whole: bool) -> bytes:
+    """The bytes of a text outside the spans; whole: a character of which some bytes stay, stays whole."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    gone = np.zeros(len(b), bool)
+    for x, y in np.frombuffer(spans, "<u4").reshape(-1, 2).tolist():
+        gone[x:y] = True
+    if whole:
+        char = np.cumsum((b & 0xC0) != 0x80) - 1
+        stays = np.zeros(int(char[-1]) + 1 if len(b) else 0, bool)
+        np.logical_or.at(stays, char[~gone], True)
+        return b[stays[char]].tobytes()
+    return b[~gone].tobytes()
 
 
 def _release(df: DataFrame) -> None:
@@ -440,52 +519,97 @@ def _release(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def repeat_spans(docs: DataFrame, keep: bool = False, part_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, key (MD5 of the text), n_bytes, n_removed, n_spans, kept_sha256 and kept (what stays, in whole characters, if asked for)."""
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows that the task has passed on before, so that one that repeats is no heavier than the number of tasks."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keep = []
+        for row in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()):
+            keep.append(row not in seen)
+            seen.add(row)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and key, the MD5 of the text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"key": F.unhex(F.md5(F.col("text").cast("binary"))), "n_bytes": F.octet_length("text").cast("bigint")})
-    first = rows.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first_id")
-    told = rows.join(first, "key", "left")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    parts, buckets = max(1, -(-total // part_bytes)), max(1, -(-total // bucket_bytes))
-    is_copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= MIN)
-    short = F.col("doc_id").isNull() | (F.col("n_bytes") < MIN)
-    kind = F.when(is_copy, 2).when(short, 0).otherwise(1)
-    base = materialise(told.select("doc_id", "key", "n_bytes", kind.alias("kind"), F.when(kind == 2, None).otherwise(F.col("text")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")), "texts")
-    _release(docs)
-    none = F.lit(None).cast("binary")
-    simple = base.filter("kind <> 1").select(
-        "doc_id", "key", "n_bytes", F.when(F.col("kind") == 2, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(F.col("kind") == 2, 1).otherwise(0).cast("bigint").alias("n_spans"),
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), (F.coalesce("text", F.lit("")).cast("binary") if keep else none).alias("kept"),
-    )
-    simple = materialise(simple, "simple")  # no texts but of documents that are too short
-    texts = base.filter("kind = 1").select("doc_id", "text", "part")
-    sent = texts.groupBy("part").applyInArrow(_send_anchors(buckets), "part bigint, bucket bigint, hashes binary, notes binary")
-    judged = materialise(sent.groupBy("bucket").applyInArrow(_judge_anchors, "part bigint, bucket bigint, n bigint, several binary, heavy binary"), "anchors")
+    return rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
+def _size(total: int, most: int) -> int:
+    """Bytes of a part or bucket: the square root of 16 KiB times the input, from 4 MiB to ``most``."""
+    return min(most, max(4 << 20, math.isqrt(total << 14)))
+
+
+def repeat_spans(docs: DataFrame, scratch: Scratch, part_bytes: int | None = None, bucket_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_bytes and sha256 of each row; doc_id, key, n_removed, n_spans and spans of each that loses something).
+
+    Both are tables of files; a copy of a smaller doc_id's text has null spans and loses all.
+    """
+    rows = _keyed(docs)
+    keys = scratch.put(rows.select("doc_id", "key", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")), "keys")
+    total = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    parts, buckets = max(1, -(-total // (part_bytes or _size(total, 32 << 20)))), max(1, -(-total // (bucket_bytes or 2 * _size(total, 16 << 20))))
+    part_of = F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).alias("part")
+    long = keys.filter("doc_id is not null").filter(F.col("n_bytes") >= MIN)
+    first = long.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("key", "first_id")
+    copies = scratch.put(long.join(first, "key").filter("first_id < doc_id").select("doc_id", "key", "n_bytes").distinct().select("*", part_of), "copies")  # no texts
+    texts = rows.filter("doc_id is not null").filter(F.octet_length("text") >= MIN).mapInArrow(_once, rows.schema).select("doc_id", "key", "text", part_of)
+    sent = texts.groupBy("part").cogroup(copies.select("doc_id", "key", "part").groupBy("part")).applyInArrow(_send_anchors(buckets), "part bigint, bucket bigint, hashes binary, notes binary")
+    judged = scratch.put(sent.groupBy("bucket").applyInArrow(_judge_anchors, "part bigint, bucket bigint, n bigint, several binary, heavy binary"), "anchors")
     _release(docs)
-    step = materialise(texts.groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(_send_contexts(buckets, keep), STEP), "contexts")
-    discard(base, judged)
+    none = F.lit(None)
+    back = judged.select("*", none.cast("bigint").alias("doc_id"), none.cast("binary").alias("key")).unionByName(
+        copies.select("part", none.cast("bigint").alias("bucket"), none.cast("bigint").alias("n"), none.cast("binary").alias("several"), none.cast("binary").alias("heavy"), "doc_id", "key")
+    )
+    step = scratch.put(texts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_send_contexts(buckets), STEP), "contexts")
     _release(docs)
-    masks = step.filter("kind >= 2").select("kind", "part", "bucket", "blob", "smallest").groupBy("bucket").applyInArrow(_judge_contexts, "part bigint, bucket bigint, kind int, marks binary")
-    masks = materialise(masks, "marks")
+    marks = step.filter("kind >= 2").select("kind", "part", "bucket", "blob", "smallest").groupBy("bucket").applyInArrow(_judge_contexts, "part bigint, bucket bigint, kind int, marks binary")
+    marks = scratch.put(marks, "marks")
     _release(docs)
-    names = RESULT.replace(" bigint", "").replace(" binary", "").replace(" string", "").split(", ")
-    pending = step.filter("kind = 1").select("part", "doc_id", "text", "blob", "smallest")
-    finished = pending.groupBy("part").cogroup(masks.groupBy("part")).applyInArrow(_finish(keep), RESULT)
-    return simple.select(names).unionByName(step.filter("kind = 0").select(names)).unionByName(finished.select(names))
+    pending = step.filter("kind = 1").select("part", "doc_id", "key", "n_bytes", "places", "wplaces")
+    spans = pending.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_find_spans, SPANS)
+    copies = copies.select("doc_id", "key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), none.cast("binary").alias("spans"))
+    lost = scratch.put(spans.unionByName(copies), "spans")
+    scratch.drop(keys, lost)
+    return keys, lost
 
 
-def repeat_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
-    return repeat_spans(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [hashlib.sha256(cut_spans(t, s, False)).hexdigest() for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sums, pa.string())], names=["doc_id", "key", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs without repeated strings; all its columns, n_chars (if there) made right; rows of which only white space is left go."""
-    kept = repeat_spans(docs.dropDuplicates(["doc_id", "text"]), keep=True).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.decode("kept", "UTF-8").alias("_kept"))
-    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    out = docs.withColumn("_own", key).withColumn("text", F.lit(None).cast("string")).join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    out = out.withColumn("text", F.col("_kept")).filter(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
+def repeat_report(docs: DataFrame, **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
+    scratch = Scratch()
+    keys, lost = repeat_spans(docs, scratch, **sizes)
+    some = lost.filter("spans is not null")
+    row = F.xxhash64("doc_id", "key").alias("row")
+    thin = only_wanted(_keyed(docs).select("*", row), "row", scratch.put(some.select(row).distinct(), "changed")).drop("row").mapInArrow(_once, "doc_id bigint, text string, key binary")
+    left = thin.join(some.select("doc_id", "key", "spans"), ["doc_id", "key"]).mapInArrow(_digests, "doc_id bigint, key binary, kept_sha256 string").dropDuplicates(["doc_id", "key"])
+    told = lost.drop("spans").join(scratch.put(left, "digests"), ["doc_id", "key"], "left").withColumn("kept_sha256", F.coalesce("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
+    out = keys.join(told, ["doc_id", "key"], "left")
+    none = F.lit(0).cast("bigint")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
+    """docs without repeated strings; all its columns, n_chars (if there) made right; rows of which only white space is left go.
+
+    Rows that repeat stay once.
+    """
+
+    @F.pandas_udf("string")
+    def cut(text, spans):
+        return text.where(spans.isna(), [None if s is None or t is None else cut_spans(t, bytes(s), True).decode("utf-8", "replace") for t, s in zip(text, spans)])
+
+    _, lost = repeat_spans(docs, Scratch(), **sizes)
+    lost = lost.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.lit(True).alias("_lost"))
+    own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    out = docs.dropDuplicates(["doc_id", "text"]).withColumn("_own", own).join(lost, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
+    out = out.filter("_lost is null or _spans is not null").withColumn("text", cut("text", "_spans")).filter(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

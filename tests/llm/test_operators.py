@@ -309,7 +309,7 @@ def test_repeats(spark, small, odd, nothing, heavy, monkeypatch):
     monkeypatch.setattr(suffixes, "HEAVY", heavy)
     for df in (small.select("doc_id", "text"), passages(spark), odd.filter("length(text) < 9000 or text is null")):
         rows = texts(df)
-        got = suffixes.repeat_spans(df, part_bytes=20_000, bucket_bytes=50_000).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        got = suffixes.repeat_report(df, part_bytes=20_000, bucket_bytes=50_000)
         assert sorted(map(tuple, got.collect()), key=key) == brute_repeats(rows)
     assert suffixes.repeat_report(nothing).count() == 0
 
@@ -329,6 +329,49 @@ def test_removed_text_stays_utf8(spark):
         assert len(r["text"]) == r["n_chars"] and 0 <= len(r["text"].encode()) - (size[r["doc_id"]] - want[r["doc_id"]]) <= 4
 
 
+def test_extents_are_the_union_of_shared_windows():
+    """extents() of contexts of a few letters, with cut edges and equal contexts, against all pairs and windows."""
+    rng = np.random.default_rng(31)
+    for size in (2, 3, 40, 120):
+        anchor = b"ANCHOR-OF-24-BYTES------"
+        rows, ids = [], []
+        for _ in range(size):
+            grow = lambda most: bytes(rng.choice(list(b"ab"), int(rng.integers(0, most + 1)), p=(0.95, 0.05)).tolist())
+            before, after = grow(26) if rng.random() < 0.3 else grow(0) + bytes([97] * 26), grow(26) if rng.random() < 0.3 else bytes([97] * 26)
+            if rng.random() < 0.4 and before:
+                k = int(rng.integers(0, len(before)))
+                before = before[:k] + b"z" + before[k + 1 :]
+            if rng.random() < 0.4 and after:
+                k = int(rng.integers(0, len(after)))
+                after = after[:k] + b"y" + after[k + 1 :]
+            rows.append((before[-26:], (anchor + after)[:50]))
+            ids.append(int(rng.integers(0, size // 2 + 1)))
+        data = np.zeros((size, suffixes.WIDE + 2), np.uint8)
+        for r, (before, after) in zip(data, rows):
+            r[26 - len(before) : 26], r[26 : 26 + len(after)] = np.frombuffer(before, np.uint8), np.frombuffer(after, np.uint8)
+            r[76], r[77] = len(before), len(after)
+        left, right = suffixes.extents(data, np.array(ids, np.int64))
+        for i, (before, after) in enumerate(rows):
+            want = set()
+            for k in range(27):
+                if k <= len(before) and 50 - k <= len(after):
+                    w = before[len(before) - k :] + after[: 50 - k]
+                    if any(d < ids[i] and k <= len(b) and 50 - k <= len(a) and b[len(b) - k :] + a[: 50 - k] == w for (b, a), d in zip(rows, ids)):
+                        want |= set(range(-k, 50 - k))
+            assert want == (set(range(-int(left[i]), int(right[i]))) if left[i] + right[i] else set())
+
+
+def test_repeats_without_ids_or_rows(spark, nothing):
+    long = "a passage that is more than fifty bytes long and that several rows of the table hold " * 2
+    df = spark.createDataFrame([(None, long), (None, long), (4, long), (4, long), (4, long + "x"), (9, "y" + long), (2, None), (3, "  ")], "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("spans", F.lit("s"))
+    rows = texts(df)
+    assert sorted(map(tuple, suffixes.repeat_report(df).collect()), key=key) == brute_repeats(rows)
+    kept = suffixes.remove_repeats(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key) == sorted([(None, long), (4, long), (4, long + "x"), (9, "y")], key=key)
+    assert suffixes.remove_repeats(nothing).count() == 0
+
+
 def test_maximal_repeats():
     rng = np.random.default_rng(3)
     for _ in range(25):
