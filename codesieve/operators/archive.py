@@ -77,10 +77,12 @@ def entries(data: bytes):
 
 
 def member(data: bytes, position: int, packed: int, flag: int) -> bytes | None:
-    """The whole contents of an entry; None if it is damaged or inflates beyond the size limit."""
+    """The whole contents of an entry; None if it is damaged, cut off or inflates beyond 256 MiB."""
     raw = data[position : position + packed]
+    if len(raw) < packed:
+        return None
     try:
-        return inflate(raw, zlib.decompressobj()) if flag == 1 else raw
+        return inflate(raw, zlib.decompressobj(), 256 << 20) if flag == 1 else raw
     except (zlib.error, Unknown):
         return None
 

@@ -79,16 +79,24 @@ def detect(text: Column, strict: bool = False) -> Column:
     return out
 
 
+def _pattern(p: str) -> str:
+    """With Unicode classes only where the pattern has a class that they change."""
+    return ("(?msU)" if any(c in p for c in (r"\w", r"\s", r"\b", r"\d", r"\W")) else "(?ms)") + p
+
+
 def flags(text: Column) -> Column:
     """Names of the signatures that occur, in the order of the table."""
-    return F.filter(F.array(*(F.when(text.rlike("(?msU)" + p), F.lit(name)) for name, (_, p) in SIGNATURES.items())), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*(F.when(text.rlike(_pattern(p)), F.lit(name)) for name, (_, p) in SIGNATURES.items())))
+
+
+def score_of(flags: Column) -> Column:
+    """The sum of the weights of flags, up to 10."""
+    weights = F.create_map(*(F.lit(x) for name, (w, _) in SIGNATURES.items() for x in (name, w)))
+    return F.least(F.lit(10.0), F.aggregate(flags, F.lit(0.0), lambda s, f: s + F.coalesce(weights[f], F.lit(0.0))))
 
 
 def signature_score(text: Column) -> Column:
-    total = F.lit(0.0)
-    for _, (weight, pattern) in SIGNATURES.items():
-        total = total + F.when(text.rlike("(?msU)" + pattern), weight).otherwise(0.0)
-    return F.least(F.lit(10.0), total)
+    return score_of(flags(text))
 
 
 def eval_depth(text: Column) -> Column:
@@ -103,12 +111,25 @@ def eval_depth(text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: s["top"])
 
 
-def static_score(text: Column) -> Column:
-    """Signatures and the bonuses for nested evaluation, long lines and few imports, up to 10."""
+def bonuses(text: Column) -> Column:
+    """For nested evaluation, long lines and few imports."""
     depth, longest = eval_depth(text), native.max_line_length(text)
     nested = F.when(depth >= 2, F.least(F.lit(2.0), depth * 0.5)).otherwise(0.0)
     wide = F.when(longest > 1000, F.least(F.lit(2.0), (longest - 1000) / 1000)).otherwise(0.0)
-    return F.least(F.lit(10.0), signature_score(text) + nested + wide + native.low_import_bonus(text))
+    return nested + wide + native.low_import_bonus(text)
+
+
+def static_score(text: Column) -> Column:
+    """Signatures and bonuses, up to 10."""
+    return F.least(F.lit(10.0), signature_score(text) + bonuses(text))
+
+
+def detect_by(name: Column) -> Column:
+    """The registered spelling of an engine's name, whatever its letter case; null if there is none."""
+    out = None
+    for known, _ in DETECTORS:
+        out = F.when(F.lower(name) == known.lower(), known) if out is None else out.when(F.lower(name) == known.lower(), known)
+    return out
 
 
 def route(score: Column) -> Column:

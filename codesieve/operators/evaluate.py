@@ -20,10 +20,15 @@ class Unknown(Exception):
     """The expression is not constant, or costs more than its budget."""
 
 
-def inflate(data: bytes, machine) -> bytes:
-    out = machine.decompress(data, MOST + 1)
-    if len(out) > MOST:
-        raise Unknown("too large")
+class TooLarge(Unknown):
+    """A value beyond the limit of its size."""
+
+
+def inflate(data: bytes, machine, most: int = MOST) -> bytes:
+    """All that the data holds; TooLarge beyond ``most`` bytes."""
+    out = machine.decompress(data, most + 1)
+    if len(out) > most:
+        raise TooLarge("too large")
     return out
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from . import detect
 from .formats import decode
-from .rename import mangling, rename, stats, validate
+from .fragments import decode_text
+from .rename import accepts, apply_candidates, is_safe_block, machine_classes, mangling, rename, stats, validate
 from .rewrite import clean
 
 VALIDATION = T.StructType([*(T.StructField(c, T.BooleanType()) for c in ("valid", "syntax_ok", "structure_ok")), T.StructField("error", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType()))])
@@ -44,28 +45,67 @@ def decode_udf(engine, source):
     return None if source is None else dict(zip(("text", "status"), decode(engine, source)))
 
 
+@F.udf(returnType=T.StringType(), useArrow=True)
+def decode_text_udf(source):
+    return None if source is None else decode_text(source)
+
+
+@F.udf(returnType=RENAMED, useArrow=True)
+def candidates_udf(source, candidates):
+    return None if source is None else dict(zip(("text", "names"), apply_candidates(source, dict(candidates or {}))))
+
+
+@F.udf(returnType=T.BooleanType(), useArrow=True)
+def accepts_udf(original, candidate):
+    return None if original is None or candidate is None else accepts(original, candidate)
+
+
+@F.udf(returnType=T.BooleanType(), useArrow=True)
+def safe_block_udf(source):
+    return None if source is None else is_safe_block(source)
+
+
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
+def machine_classes_udf(source):
+    return None if source is None else machine_classes(source)
+
+
+@F.udf(returnType=VALIDATION, useArrow=True)
+def validate_udf(original, cleaned):
+    return None if original is None or cleaned is None else validate(original, cleaned)
+
+
 @F.udf(returnType=RESULT, useArrow=True)
-def normalize_udf(source, route):
+def normalize_udf(source, route, engine=None):
     if source is None:
         return None
-    text, log = clean(source)
+    unwrapped, status = decode(engine, source) if engine else (None, "no_engine")
+    text, log = clean(unwrapped if unwrapped else source)
+    if status != "no_engine":
+        log.insert(0, f"{engine}: {status}")
     names = {}
     if route in ("rule_rename", "llm_rename"):
         text, names = rename(text)
         log.append(f"renamed {len(names)}")
-    return {"cleaned": text, "log": log, "names": names, "validation": validate(source, text)}
+    return {"cleaned": text, "log": log, "names": names, "validation": validate(unwrapped if unwrapped else source, text)}
 
 
-def triage(text: Column) -> Column:
-    """struct of score, flags and route: native signatures and bonuses, and the share of mangled names from a UDF."""
-    m = mangling_udf(text)
-    score = F.least(F.lit(10.0), detect.static_score(text) + m)
-    named = F.when(m > 0.5, F.array(F.lit("identifier_entropy"))).otherwise(F.array().cast("array<string>"))
-    return F.struct(F.round(score, 2).alias("score"), F.concat(detect.flags(text), named).alias("flags"), detect.route(score).alias("route"))
+def triage(samples: DataFrame, column: str = "source") -> DataFrame:
+    """samples with triage, a struct of score, flags and route: native signatures and bonuses, and the share of mangled names
+    from a UDF. Each pattern is looked for once: the score is a sum over the flags."""
+    text = F.col(column)
+    out = samples.withColumns({"_flags": detect.flags(text), "_bonus": detect.bonuses(text), "_mangled": mangling_udf(text)})
+    out = out.withColumn("_score", F.least(F.lit(10.0), detect.score_of(F.col("_flags")) + F.col("_bonus") + F.col("_mangled")))
+    named = F.when(F.col("_mangled") > 0.5, F.array(F.lit("identifier_entropy"))).otherwise(F.array().cast("array<string>"))
+    told = F.struct(F.round("_score", 2).alias("score"), F.concat("_flags", named).alias("flags"), detect.route(F.col("_score")).alias("route"))
+    return out.withColumn("triage", told).drop("_flags", "_bonus", "_mangled", "_score")
 
 
 def normalize(samples: DataFrame, column: str = "source") -> DataFrame:
-    """samples with engine, triage and result (cleaned text, log, renamed identifiers, validation)."""
+    """samples with engine, triage and result (cleaned text, log, renamed identifiers, validation).
+
+    The wrapper of a detected engine is taken off first; the two detectors that match ordinary code are left out.
+    """
     text = F.col(column)
-    out = samples.withColumns({"engine": detect.detect(text, strict=True), "triage": triage(text)})
-    return out.withColumn("result", normalize_udf(text, F.col("triage.route")))
+    out = triage(samples, column).withColumn("engine", detect.detect(text, strict=True))
+    return out.withColumn("result", normalize_udf(text, F.col("triage.route"), F.col("engine"))).select(*samples.columns, "engine", "triage", "result")

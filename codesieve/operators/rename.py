@@ -116,8 +116,16 @@ class _Collect(ast.NodeVisitor):
         self.generic_visit(n)
 
 
+def _bound(s: ast.AST) -> set[str]:
+    """Names that a statement of a class body binds there."""
+    if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        return {s.name}
+    return {n.id for n in ast.walk(s) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)} | {n.name for n in ast.walk(s) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))}
+
+
 def rename(source: str) -> tuple[str, dict[str, str]]:
-    """(program, old name to new): one map for the whole program; attributes and keyword names stay."""
+    """(program, old name to new): one map for the whole program; attributes, names bound in a class body (they are reached
+    as attributes), keyword names and names that are looked up as text stay."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
@@ -125,9 +133,11 @@ def rename(source: str) -> tuple[str, dict[str, str]]:
     used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} | {a.arg for a in ast.walk(tree) if isinstance(a, ast.arg)}
     imported = {(a.asname or a.name).split(".")[0] for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names}
     keywords = {k.arg for n in ast.walk(tree) if isinstance(n, ast.Call) for k in n.keywords}
+    fields = {n for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for s in c.body for n in _bound(s)}
+    texts = {n.value for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str)}
     c = _Collect(used)
     c.visit(tree)
-    names = {a: b for a, b in c.names.items() if a not in imported and a not in keywords}
+    names = {a: b for a, b in c.names.items() if a not in imported and a not in keywords and a not in fields and a not in texts}
     if not names:
         return source, {}
     for n in ast.walk(tree):
@@ -179,3 +189,61 @@ def mangling(source: str) -> float:
         return 0.0
     share, mean = sum(map(is_mangled, names)) / len(names), sum(map(len, names)) / len(names)
     return round(min(2.0, 2 * share + max(0.0, (4 - mean) * 0.2)), 2)
+
+
+# Predicates over programs -----------------------------------------------------------------------------------------------
+
+RISKY = frozenset("eval exec compile open input exit quit __import__".split())
+
+
+def _tree(source: str | None) -> ast.Module | None:
+    try:
+        return None if source is None else ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def machine_classes(source: str, least: int = 6) -> list[str]:
+    """Names of the classes that hold a match statement with at least so many integer cases: interpreters of some code."""
+    tree = _tree(source)
+    numbers = lambda m: sum(isinstance(c.pattern, ast.MatchValue) and isinstance(c.pattern.value, ast.Constant) and type(c.pattern.value.value) is int for c in m.cases)
+    return [] if tree is None else [c.name for c in ast.walk(tree) if isinstance(c, ast.ClassDef) and any(isinstance(m, ast.Match) and numbers(m) >= least for m in ast.walk(c))]
+
+
+def is_safe_block(source: str) -> bool:
+    """Statements without a raise, an assert or a call of what reaches outside; False if the text does not parse."""
+    tree = _tree(source)
+    return tree is not None and not any(isinstance(n, (ast.Raise, ast.Assert)) or (isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in RISKY) for n in ast.walk(tree))
+
+
+def accepts(original: str, candidate: str) -> bool:
+    """May a proposed function stand for the original? One function, as many parameters, and not all returns lost."""
+    old, new = _tree(original), _tree(candidate)
+    if old is None or new is None:
+        return False
+    functions = [[n for n in t.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))] for t in (old, new)]
+    if len(functions[1]) != 1 or not functions[0]:
+        return False
+    (a, b), returns = (functions[0][0], functions[1][0]), lambda f: sum(isinstance(n, ast.Return) for n in ast.walk(f))
+    size = lambda f: len(f.args.args) + len(f.args.posonlyargs) + len(f.args.kwonlyargs)
+    return size(a) == size(b) and (returns(b) > 0 or returns(a) == 0)
+
+
+def apply_candidates(source: str, candidates: dict[str, str] | None) -> tuple[str, dict[str, str]]:
+    """Renames by proposals (old name to new) from elsewhere: those that are identifiers, new to the program and not taken twice."""
+    tree = _tree(source)
+    if tree is None or not candidates:
+        return source, {}
+    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} | {a.arg for a in ast.walk(tree) if isinstance(a, ast.arg)} | {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.ClassDef))}
+    taken, names = set(used) | NEVER, {}
+    for old, new in sorted(candidates.items()):
+        if old in used and old not in NEVER and new.isidentifier() and new not in taken:
+            names[old] = new
+            taken.add(new)
+    if not names:
+        return source, {}
+    for n in ast.walk(tree):
+        for field in ("id", "arg", "name"):
+            if not isinstance(n, (ast.keyword, ast.alias)) and isinstance(getattr(n, field, None), str):
+                setattr(n, field, names.get(getattr(n, field), getattr(n, field)))
+    return ast.unparse(tree), names

@@ -116,9 +116,9 @@ _DUCK = _SAMPLE.replace("\\n", "' || chr(10) || '")
 
 @query(f"SELECT l_orderkey, l_linenumber, round(s, 2) AS score, CASE WHEN s < 4 THEN 'static_only' WHEN s < 7 THEN 'rule_rename' ELSE 'llm_rename' END AS route FROM (SELECT l_orderkey, l_linenumber, least(10.0, CAST({_SCORE} AS DOUBLE)) AS s FROM (SELECT l_orderkey, l_linenumber, {_DUCK.format(k='l_partkey')} AS t FROM lineitem))")
 def q10_triage(spark, d):
-    t = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_SAMPLE.format(k="l_partkey")).alias("t"))
-    s = detect.signature_score(F.col("t"))
-    return t.select("l_orderkey", "l_linenumber", F.round(s, 2).alias("score"), detect.route(s).alias("route"))
+    t = _spread(_t(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", F.expr(_SAMPLE.format(k="l_partkey")).alias("t"))
+    t = t.withColumn("s", detect.signature_score(F.col("t")))  # once, for score and route
+    return t.select("l_orderkey", "l_linenumber", F.round("s", 2).alias("score"), detect.route(F.col("s")).alias("route"))
 
 
 @query("SELECT p_partkey, p_name AS b64, p_name AS hex, p_name AS rot, p_name AS back, p_name AS codes, p_name AS xored, CAST(p_size AS BIGINT) AS number FROM part")
