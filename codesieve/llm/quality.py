@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, window_hash
+from .common import U64, materialise, slices, window_hash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_distinct", "n_upper", "n_ends", "n_marks", "n_symbol_ends")
@@ -68,7 +68,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = np.array([count_text(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS + EXTRA))
         keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
         names = [name for name in batch.schema.names if name != "text"]
@@ -107,29 +107,24 @@ def votes():
 RULES = ("length", "word_length", "symbols", "symbol_words", "marks", "dup_lines", "repeats", "upper", "sentences", "variety")
 #: What EM starts from: rows by class (bad, good), columns by outcome (bad, abstain, good). Bad votes are rare but telling.
 START = np.array([[0.30, 0.10, 0.60], [0.005, 0.095, 0.90]])
-#: A rule is taken to be better than chance: its bad votes are at least so many times as likely in the bad class.
-TELLING = 10.0
 
 
-def fit_em(patterns: np.ndarray, weights: np.ndarray, steps: int = 60, prior: float = 0.8):
+def fit_em(patterns: np.ndarray, weights: np.ndarray, steps: int = 200, prior: float = 0.8):
     """(prior of good, table[class, rule, outcome]) by expectation-maximisation over vote patterns (values -1, 0, 1).
 
-    A Dirichlet prior centred on START, as strong as a hundredth of the corpus, holds the classes in place where a rule
-    never votes.
+    START only says which class is which: a prior as strong as one document, so that no rate is 0.
     """
     table = np.repeat(START[:, None, :], patterns.shape[1], axis=1)
     total = weights.sum()
     if not total:
         return prior, table
-    hold = max(1.0, 0.01 * total) * START[:, None, :]
+    hold = START[:, None, :]
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
     for _ in range(steps):
         post = posterior(patterns, prior, table)
         for k, r in enumerate((1 - post, post)):
             s = np.einsum("p,prv->rv", r * weights, onehot) + hold[k]
             table[k] = s / s.sum(axis=1, keepdims=True)
-        table[1, :, 0] = np.minimum(table[1, :, 0], table[0, :, 0] / TELLING)
-        table[1] /= table[1].sum(axis=1, keepdims=True)
         new = float(np.clip((post * weights).sum() / total, 0.05, 0.99))
         if abs(new - prior) < 1e-9:
             break
