@@ -23,8 +23,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Parts of a page: comments, CDATA, declarations, tags with quoted attributes, or a lone "<".
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)>|<", re.S)
+#: A tag with "<" in a quoted attribute, which is looked for only where PART finds no tag.
+WIDE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+DEEPEST = 512  # levels; what lies deeper belongs to the element at that level, as in browsers
 RAW = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,13 +54,14 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "doubtful")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "doubtful", "depth")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.children, self.parts = tag, parent, [], []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.doubtful = False
+        self.depth = parent.depth + 1 if parent is not None else 0
         if cut:  # its parent doesn't know it: it is parsed like any other, but no part of the tree
             parent.parts.append(None)
         elif parent is not None:
@@ -121,9 +127,12 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     here, articles = root, 0
     at, end = 0, len(page)
-    search = PART.search
+    search, wide = PART.search, True
     while at < end:
         m = search(page, at)
+        if m and wide and m[0] == "<":
+            wide = WIDE.match(page, m.start())  # one that fails has read to the end: there is no second try
+            m = wide or m
         stop = m.start() if m else end
         if stop > at:
             here.parts.append(html.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop])
@@ -174,7 +183,7 @@ def parse(page: str) -> Node:
             continue
         node = Node(name, here, noise == "cut")
         node.doubtful = noise == "doubtful"
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
             here = node
             articles += name in ("article", "main")
     _prune(root)
@@ -285,7 +294,7 @@ def main_text(page: str | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "html"):
         texts = [main_text(x) for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
