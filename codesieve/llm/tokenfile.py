@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, open_store, shared_path, tokenizer_path, word_cache
-from .ranges import range_bounds, shard_column
+from .common import U64, open_store, shared_path, slices, tokenizer_path, word_cache
+from .ranges import deal, range_bounds, shard_column
 
 MAGIC = b"CMRC0001"
 BLOCK, LANES, CHUNK = 1 << 19, 2048, 8
@@ -256,7 +256,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_by
     """
     rows = docs.select("doc_id", "text")
     bounds = range_bounds(rows.withColumn("n", F.octet_length("text")), "doc_id", F.coalesce("n", F.lit(0)) + 8, shard_bytes)
-    dealt = shard_column(rows, "doc_id", bounds).repartition(max(2, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    dealt = deal(shard_column(rows, "doc_id", bounds), len(bounds) + 1).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     end = np.asarray([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_by
             data = files[f"{name}.cmrc"]
             done.append((now, name, len(known), len(flat), len(data), hashlib.sha256(data).hexdigest()))
 
-        for batch in batches:
+        for batch in slices(batches):
             shards = batch.column("shard").to_pylist()
             coded = cache.encode(batch.column("text").to_pylist())
             for shard, doc_id, own in zip(shards, batch.column("doc_id").to_pylist(), coded, strict=True):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import open_store, shared_path
-from .ranges import range_bounds, shard_column
+from .ranges import deal, range_bounds, shard_column
 
 MANIFEST = "shard int, file string, n_records bigint, n_bytes bigint, sha256 string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,12 +68,16 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record of a file; raises ValueError where a length or a digest is wrong."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(data)
-        if not unpacker.eof:
-            raise ValueError("a record is cut off")
-        data = unpacker.unused_data
+    at, view = 0, memoryview(data)
+    while at < len(view):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:  # in steps, so that what lies behind a record is copied in small pieces only
+            if at >= len(view):
+                raise ValueError("a record is cut off")
+            parts.append(unpacker.decompress(view[at : at + 4096]))
+            at = min(len(view), at + 4096)
+        at -= len(unpacker.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         first, *lines = head.decode("ascii").split("\r\n")
         headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
@@ -120,7 +124,7 @@ class _Roller:
             yield self.shard, name, self.count, self.size, self.digest.hexdigest()
 
 
-def write_archive(pages: DataFrame, out: str, shard_bytes: int = 16 << 20, roll_bytes: int = 64 << 20, level: int = 4, revisit_min_bytes: int = 0) -> DataFrame:
+def write_archive(pages: DataFrame, out: str, shard_bytes: int = 24 << 20, roll_bytes: int = 4 << 20, level: int = 4, revisit_min_bytes: int = 0) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) below ``out``; returns the manifest, a committed table.
 
     Shuffles: the digests (no payloads) once, to find the smallest id of equal payloads; the payloads once, to sort.
@@ -135,7 +139,7 @@ def write_archive(pages: DataFrame, out: str, shard_bytes: int = 16 << 20, roll_
     told = again.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     records = rows.select("page_id", digest.alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("refers_to"), "url", "html")
     tagged = shard_column(told.unionByName(records), "page_id", bounds)
-    dealt = tagged.repartition(max(len(bounds) + 1, 2), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", F.asc_nulls_first("url"))
+    dealt = deal(tagged, len(bounds) + 1).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", F.asc_nulls_first("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done = _Roller(out, roll_bytes), []
