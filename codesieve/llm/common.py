@@ -27,9 +27,12 @@ ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a folder of this machine
+    if driver and executors are one process; on a cluster that is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("codesieve.shared.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="codesieve-shared-")
         spark.conf.set("codesieve.shared.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -43,13 +46,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so that a lost executor costs nothing."""
+    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so that a lost executor costs nothing.
+
+    While it writes, Spark drops the shuffle files of finished queries in this session.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # what is written needs its shuffle files no longer
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -305,17 +311,18 @@ def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h >> U64(s)) ^ (h << U64(64 - s))) % U64(bits) for s in (1, 17, 33, 49)]
 
 
-def only_wanted(rows: DataFrame, key: str, wanted: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
-    """Rows that have all those whose ``key`` (bigint) is in ``wanted`` (a table of distinct keys), and few others.
+def only_wanted(rows: DataFrame, key: str, wanted: DataFrame, then, schema: str, most_bytes: int = 16 << 20) -> DataFrame:
+    """What ``then`` (batches to batches of ``schema``) makes of the rows whose ``key`` (bigint) is in ``wanted`` (a table of
+    distinct keys) and of few others, in the same Python worker.
 
     Where a Bloom filter of the keys (10 bits each) fits into most_bytes, it is broadcast: no shuffle, and about one other
     row in a hundred stays. With more keys than that, a semi-join leaves exactly the rows that are wanted.
     """
     n = wanted.count()
     if 10 * n > 8 * most_bytes:
-        return rows.join(wanted, key, "left_semi")
+        return rows.join(wanted, key, "left_semi").mapInArrow(then, schema)
     if not n:
-        return rows.filter("false")
+        return rows.sparkSession.createDataFrame([], schema)
     bits = 8 * (-(-10 * n // 8))
 
     def build(batches):
@@ -337,4 +344,4 @@ def only_wanted(rows: DataFrame, key: str, wanted: DataFrame, most_bytes: int =
                 keep &= (table[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).astype(bool)
             yield batch.filter(pa.array(keep))
 
-    return rows.mapInArrow(thin, rows.schema)
+    return rows.mapInArrow(lambda batches: then(thin(batches)), schema)

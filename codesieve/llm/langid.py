@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, window_hash
+from .common import U64, mix64, slices, window_hash
 
 SIZE = 4  # bytes of an n-gram of lower-cased UTF-8, with blanks for whatever is no letter
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, max_train_docs: int = 400) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(training_sample(docs.select("doc_id", "text", "lang"), max_train_docs)))  # at most 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [predict(model.value, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],

@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) ->
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = scratch.put(nodes.distinct(), "wanted")
-        return scratch.put(only_wanted(rows.select("node", "text"), "node", wanted).mapInArrow(_set_rows, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        return scratch.put(only_wanted(rows.select("node", "text"), "node", wanted, _set_rows, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets are similar."""

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tokenizer_path, word_cache
+from .common import materialise, slices, tokenizer_path, word_cache
 
 PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = "uid bigint, length bigint, sequence_id bigint, offset bigint, bins bigint, bound bigint"
@@ -35,7 +35,7 @@ def tokenised_pieces(docs: DataFrame, size: int, path: str, end_id: int = 1) ->
         cache = word_cache(path)
         uid = TaskContext.get().partitionId() << 36
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.frombuffer(own, cache.dtype).astype("<u4").tobytes() + end

@@ -587,7 +587,7 @@ def repeat_report(docs: DataFrame, **sizes: int) -> DataFrame:
     keys, lost = repeat_spans(docs, scratch, **sizes)
     some = lost.filter("spans is not null")
     row = F.xxhash64("doc_id", "key").alias("row")
-    thin = only_wanted(_keyed(docs).select("*", row), "row", scratch.put(some.select(row).distinct(), "changed")).drop("row").mapInArrow(_once, "doc_id bigint, text string, key binary")
+    thin = only_wanted(_keyed(docs).select("*", row), "row", scratch.put(some.select(row).distinct(), "changed"), _once, "doc_id bigint, text string, key binary, row bigint")
     left = thin.join(some.select("doc_id", "key", "spans"), ["doc_id", "key"]).mapInArrow(_digests, "doc_id bigint, key binary, kept_sha256 string").dropDuplicates(["doc_id", "key"])
     told = lost.drop("spans").join(scratch.put(left, "digests"), ["doc_id", "key"], "left").withColumn("kept_sha256", F.coalesce("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
     out = keys.join(told, ["doc_id", "key"], "left")

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,6 +66,35 @@ def test_warc_is_deterministic_and_rolls(spark):
     assert runs[0] == runs[1] and len(runs[0]) > 3
 
 
+def test_range_bounds_split_all_heavy_cells(spark):
+    from codesieve.llm.ranges import deal, range_bounds, shard_column
+
+    even = spark.range(300_000).select((F.col("id") * 7).alias("k"))
+    far = even.unionByName(spark.createDataFrame([(-(2**63),), (2**63 - 1,), (None,)], "k bigint")).unionByName(spark.range(500).select(F.lit(35).cast("bigint").alias("k")))
+    for df, most in ((even, 400), (far, 700)):
+        bounds = range_bounds(df, "k", F.lit(1), 200)
+        sizes = shard_column(df, "k", bounds).groupBy("shard").count().collect()
+        assert bounds == sorted(set(bounds)) and max(r["count"] for r in sizes) <= most and len(sizes) > 700
+    own = deal(shard_column(even, "k", bounds), len(bounds) + 1).select("shard", F.spark_partition_id().alias("p")).distinct()
+    assert own.filter("shard <> p").count() == 0
+    assert range_bounds(even.filter("false"), "k", F.lit(1), 200) == []
+
+
+def test_archive_query_rolls_and_reader_is_linear(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, "u", rng.bytes(150_000).hex()) for i in range(60)]  # 18 MB that hardly compress below a half
+    out = common.shared_path(spark, "roll")
+    names = [r["file"] for r in warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), out).collect()]
+    assert len(names) > 1 and any(n.endswith("-0001.warc.gz") for n in names)
+    record = warc.write_record(1, "u", b"x" * 1500, None, False, warc.base32_sha1(b"x" * 1500), 4)
+    took = []
+    for n in (2000, 16_000):
+        began = time.process_time()
+        assert sum(1 for _ in warc.read_records(record * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0]
+
+
 def test_warc_of_nothing(spark):
     assert warc.archive_digests(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
@@ -122,6 +153,67 @@ def test_pages_are_their_articles(spark):
         assert htmltext.main_text(r["html"]) == " ".join(" ".join(html.unescape(p).split()) for p in parts if p.strip())
 
 
+def plain_density(root):
+    """Composite density and density sums straight from their definition, by recursion."""
+    def chars(n):
+        return sum(len(re.sub(r"\s+", " ", p).strip()) if isinstance(p, str) else chars(p) for p in n.parts if p is not None)
+
+    def tags(n):
+        return sum(1 + tags(c) for c in n.children)
+
+    def link_chars(n):
+        return chars(n) if n.tag == "a" else sum(map(link_chars, n.children))
+
+    def link_tags(n):
+        return tags(n) + 1 if n.tag == "a" else sum(map(link_tags, n.children))
+
+    def all_nodes(n):
+        return [n] + [x for c in n.children for x in all_nodes(c)]
+
+    nodes = all_nodes(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+
+    def density(n):
+        c, t, lc, lt = chars(n), max(1, tags(n)), link_chars(n), link_tags(n)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + link_chars(body) / chars(body) * c + math.e)
+        return c / t * max(0.0, math.log(max(1 + 1e-9, c / max(1, lc) * t / max(1, lt))) / math.log(max(1 + 1e-9, base)))
+
+    return {id(n): (density(n), sum(map(density, n.children))) for n in nodes}
+
+
+def test_density_is_as_defined(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(12).collect()] + ["<body><p>a<a href=x>bc</a> d</p><ul><li><a>x</a><li><a>y z</a></ul>"]
+    for page in pages:
+        root = htmltext.parse(page)
+        want = plain_density(root)
+        for n in htmltext._measure(root):
+            assert want[id(n)] == pytest.approx((n.density, n.total))
+
+
+def test_density_decides_where_names_say_nothing():
+    story = "".join(f"<p>Sentence {i} of a long story that goes on for a while, as stories do, with many words in it.</p>" for i in range(12))
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(40)) + "</ul>"
+    for page in (f"<body><div>{links}</div><div class=x>{story}</div><div>{links}</div></body>", f"<body><table><tr><td>{links}</td><td>{story}</td></tr></table></body>"):
+        got = htmltext.main_text(page)
+        assert "Sentence 0" in got and "Sentence 11" in got and "Another page" not in got
+        root = htmltext.parse(page)  # the whole body would hold the links
+        assert "Another page" in " ".join(htmltext._blocks(root))
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ('<a "x ' * 170_000, '<a "x ' * 85_000 + '">' + "<p>end</p>", "<!" * 500_000, "<b>" * 300_000 + "<li>x" * 1000, "<div title='a < b'>text</div>" * 20_000, "&" * 1_000_000, "<p" * 400_000):
+        began = time.process_time()
+        htmltext.main_text(page)
+        assert time.process_time() - began < 12, page[:20]
+    assert htmltext.main_text("<div title='a < b > c'>some text</div>") == "some text"
+
+
+def test_pages_of_nothing(spark):
+    assert htmltext.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string, text string")).count() == 0
+
+
 def test_extract_pages_keeps_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a", "y")], "page_id bigint, url string, html string, text string")
     assert sorted(map(tuple, htmltext.extract_pages(df).collect()), key=key) == [(1, "u", "", 0), (1, "u", "", 0), (None, None, "a", 1)]
@@ -201,17 +293,34 @@ def test_word_cache_forgets_and_learns_again():
 
 
 def test_rollups(spark, small, odd, nothing):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1")
-    gone = {r["doc_id"] for r in labels.collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic, poor = labels.filter("toxic = 1"), labels.filter("quality = 0")
+    gone, changed = {r["doc_id"] for r in toxic.collect()}, {r["doc_id"] for r in poor.collect()}
+    assert changed - gone
     want = defaultdict(lambda: [0, 0])
     for r in small.collect():
         if r["doc_id"] not in gone:
-            want[r["source"], r["lang"]][0] += 1
-            want[r["source"], r["lang"]][1] += len(bpe(r["text"]))
-    got = {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"]] for r in rollups.rollup_documents(small, labels).collect()}
+            n = len(bpe(r["text"]))
+            for version, more in (("word_bpe_49k", int(r["doc_id"] in changed)), ("word_bpe_49k+end", 1)):
+                want[r["source"], r["lang"], version][0] += 1
+                want[r["source"], r["lang"], version][1] += n + more
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"]] for r in rollups.rollup_documents(small, toxic, poor).collect()}
     assert got == dict(want)
-    assert rollups.rollup_documents(odd, labels.filter("false")).agg(F.sum("n_docs")).first()[0] == odd.count()
-    assert rollups.rollup_documents(nothing, labels).count() == 0
+    none = labels.filter("false")
+    assert rollups.rollup_documents(odd, none, none).agg(F.sum("n_docs")).first()[0] == 2 * odd.count()
+    assert rollups.rollup_documents(nothing, toxic, poor).count() == 0
+
+
+def test_of_two_attempts_of_a_batch_one_counts(spark):
+    c = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer string, n_tokens bigint")
+    r = rollups.TokenRollup(spark)
+    sums = rollups.inserts(c)
+    for attempt in ("b", "a", "c"):  # as drivers that race would leave them
+        r._write(r._dir(f"batches/same/{attempt}"), sums)
+    fs, half = common.hadoop_path(spark, r._dir("batches/half/x"))
+    fs.mkdirs(half)  # a batch that was never finished
+    assert r.committed() == ["same"] and [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 5)]
+    assert r.commit("half", sums) and rollups.TokenRollup(spark, r.path).committed() == ["half", "same"]
 
 
 def test_rollup_batches_count_once(spark):
@@ -643,6 +752,48 @@ def test_quality_counts_and_verdicts(spark, odd, nothing):
 # Pipeline ----------------------------------------------------------------------------------------------------------------
 
 
+def plain_em(rows, steps=200):
+    """EM of two classes and independent rules, document by document, without tables of patterns."""
+    good, rate = 0.8, [[[0.3, 0.1, 0.6] for _ in rows[0]], [[0.005, 0.095, 0.9] for _ in rows[0]]]
+    for _ in range(steps):
+        post = []
+        for r in rows:
+            p = [1 - good, good]
+            for i, v in enumerate(r):
+                p = [p[k] * rate[k][i][v + 1] for k in (0, 1)]
+            post.append(p[1] / (p[0] + p[1]))
+        for k in (0, 1):
+            for i in range(len(rows[0])):
+                s = [(0.3, 0.1, 0.6)[v] if k == 0 else (0.005, 0.095, 0.9)[v] for v in range(3)]
+                for r, p in zip(rows, post):
+                    s[r[i] + 1] += p if k else 1 - p
+                rate[k][i] = [x / sum(s) for x in s]
+        good = min(0.99, max(0.05, sum(post) / len(post)))
+    return good, rate
+
+
+def test_em_against_a_plain_one_and_known_rates():
+    rng = np.random.default_rng(10)
+    right = np.array([0.95, 0.9, 0.8, 0.7, 0.6])  # how often a rule votes as it should; it abstains one time in five
+    truth = rng.random(600) < 0.7
+    votes = np.where(rng.random((600, 5)) < 0.2, 0, np.where((rng.random((600, 5)) < right) == truth[:, None], 1, -1))
+    patterns, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    prior, table = quality.fit_em(patterns, n.astype(float))
+    good, rate = plain_em(votes.tolist())
+    assert prior == pytest.approx(good, abs=1e-4) and np.allclose(table, np.array(rate), atol=1e-3)
+    verdict = quality.posterior(patterns, prior, table)[at.ravel()] >= 0.5
+    every = (votes >= 0).all(axis=1)  # all must pass
+    assert abs(prior - truth.mean()) < 0.08 and (verdict == truth).mean() > 0.9 > (every == truth).mean()
+
+
+def test_verdicts_on_labels_beside_all_must_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in quality.quality_report(docs).collect() if r["doc_id"] in labels and not r["base_failed"]]
+    good, bad = [r for r in rows if labels[r["doc_id"]] == 1], [r for r in rows if labels[r["doc_id"]] == 0]
+    assert sum(r["kept"] for r in good) >= 0.99 * len(good) and sum(r["kept"] for r in bad) <= 0.02 * len(bad)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
