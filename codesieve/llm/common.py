@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import struct
 import tempfile
@@ -106,6 +107,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     release()
 
 
+_owner = ""
+
+
+def workspace(owner: str) -> None:
+    """Called where an operator's work begins in a Python worker: workers live on from stage to stage, so what another
+    operator has cached there (words, a tokenizer) is dropped."""
+    global _owner
+    if owner != _owner:
+        _owner = owner
+        for cache in (word_cache, _model, _tokenizer):
+            cache.cache_clear()
+        gc.collect()
+        release()
+
+
 def release() -> None:
     """Gives free memory of Arrow's pool and of the C library back to the system."""
     pa.default_memory_pool().release_unused()

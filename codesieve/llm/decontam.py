@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, workspace
 
 BLOCK_CHARS = 4_000_000
 
@@ -138,6 +138,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            workspace("decontam")
             matcher = _matcher(held.value, rate)
             for batch in slices(batches):
                 rows = [(d, i, n) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, n in matcher.find(t)]
@@ -155,6 +156,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05,
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            workspace("decontam")
             matcher = _matcher(held.value, rate)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix64, only_wanted, slices
+from .common import U64, Scratch, mix64, only_wanted, slices, workspace
 
 WORDS, SIZE, BANDS = 5, 125, 25
 ROWS = SIZE // BANDS
@@ -123,6 +123,7 @@ def prob_minhash(h: np.ndarray, weight: np.ndarray, text: np.ndarray, n_texts: i
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Slices of the batches, and which of their rows hold a text that the task has not met before."""
+    workspace("neardup")
     seen: set[int] = set()
     for batch in slices(batches):
         fresh = np.zeros(len(batch), bool)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tokenizer_path, word_cache
+from .common import materialise, slices, tokenizer_path, word_cache, workspace
 
 PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = "uid bigint, length bigint, sequence_id bigint, offset bigint, bins bigint, bound bigint"
@@ -32,6 +32,7 @@ def tokenised_pieces(docs: DataFrame, size: int, path: str, end_id: int = 1) ->
     """The pieces of each row of docs, with a uid for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workspace("tokens")
         cache = word_cache(path)
         uid = TaskContext.get().partitionId() << 36
         end = np.asarray([end_id], "<u4").tobytes()

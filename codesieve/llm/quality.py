@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, slices, window_hash
+from .common import U64, materialise, slices, window_hash, workspace
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_distinct", "n_upper", "n_ends", "n_marks", "n_symbol_ends")
@@ -68,6 +68,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    workspace("quality")
     for batch in slices(batches):
         rows = np.array([count_text(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS + EXTRA))
         keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_path, materialise, slices, shared_path, tokenizer_path, word_cache
+from .common import hadoop_path, materialise, slices, shared_path, tokenizer_path, word_cache, workspace
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -32,6 +32,7 @@ def token_counts(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
     """doc_id, source, lang, tokenizer and n_tokens of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workspace("tokens")
         cache = word_cache(path)
         width = np.dtype(cache.dtype).itemsize
         for batch in slices(batches):

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix64, only_wanted, release, sliding, window_hash
+from .common import U64, Scratch, mix64, only_wanted, release, sliding, window_hash, workspace
 
 MIN, K = 50, 24
 W = MIN - K + 1  # grams in a window; windows that may hold an anchor
@@ -521,6 +521,7 @@ def _release(df: DataFrame) -> None:
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Without rows that the task has passed on before, so that one that repeats is no heavier than the number of tasks."""
+    workspace("suffixes")
     seen: set[tuple] = set()
     for batch in batches:
         keep = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, open_store, shared_path, slices, tokenizer_path, word_cache
+from .common import U64, open_store, shared_path, slices, tokenizer_path, word_cache, workspace
 from .ranges import deal, range_bounds, shard_column
 
 MAGIC = b"CMRC0001"
@@ -262,6 +262,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import _tokenizer
 
+        workspace("tokens")
         cache = word_cache(path, dtype)
         vocabulary = _tokenizer(path).get_vocab_size()
         width = np.dtype(dtype).itemsize
