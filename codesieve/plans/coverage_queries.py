@@ -12,6 +12,7 @@ import struct
 import zlib
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import catalog
 from ..functions import native as N
@@ -200,7 +201,7 @@ def q44_formats(spark, d):
     )
 
 
-@F.udf("binary")
+@F.udf(returnType=T.BinaryType())
 def _archive(key, name):
     """An archive with a script, a packed module and an option, as its format says."""
     body = f"code of {name}".encode()
@@ -234,7 +235,7 @@ def q45_archive_entries(spark, d):
     return made.lateralJoin(analyze.ArchiveEntries(F.col("packed").outer())).select("n_nationkey", "entry_no", "kind", "status", "name", F.md5("content").alias("content_md5"), N.safe_member(F.col("name")).alias("safe"))
 
 
-@F.udf("binary")
+@F.udf(returnType=T.BinaryType())
 def _executable(key):
     """A PE file with a read-only section that holds a packer's marker, and a named resource."""
     marker = [b"PyInstaller: FormatMessageW failed.", b"__nuitka_version__", b"PY2EXE_VERBOSE", b"nothing"][key % 4]

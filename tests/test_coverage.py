@@ -69,3 +69,12 @@ def test_analysis_of_odd_samples(spark):
     out = {r["path"]: r for r in analyze.analyze(df).collect()}
     assert out["a.pyc"]["is_pyc"] and out["a.pyc"]["n_entries"] == 0 and out["b"]["n_entries"] is None and not out["b"]["is_pyc"]
     assert "http://a.bc" in out["c"]["indicators"] and out["c"]["hashes"]["md5"]
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(o) >= 100; print('listed')"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/", 2)[0])
+    assert "listed" in done.stdout, done.stderr[-500:]
