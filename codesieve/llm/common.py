@@ -13,7 +13,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -149,7 +148,9 @@ def _tokenizer(path: str):
 
 @lru_cache(maxsize=4)
 def _model(path: str):
-    return _tokenizer(path).model
+    model = _tokenizer(path).model
+    model._resize_cache(0)  # words are asked for once
+    return model
 
 
 #: The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
@@ -179,8 +180,6 @@ class WordCache:
     ``dtype``.
     """
 
-    #: ASCII separators that str.split() takes for white space and the tokenizer does not.
-    ODD = re.compile("[\x1c-\x1f]")
     #: Letters, then one run of ASCII marks: the tokenizer parts such a chunk between the two.
     WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
 
@@ -256,28 +255,50 @@ class WordCache:
             lower = word.lower()
             known[c] = (known[word] if word in known else known[lower]) + known[marks]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        if len(self.known) > self.limit // 2:
+            self.known, self.old = {}, self.known
+        known = self.known
+        found = list(map(known.get, chunks))
+        missing = [i for i, own in enumerate(found) if own is None]
+        if missing:
+            self._learn({chunks[i] for i in missing})
+            for i in missing:
+                found[i] = known[chunks[i]]
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where each text's ids end) of texts (null: none), without special tokens.
+
+        Arrow parts the texts at ASCII white space and numbers their chunks, so Python sees a distinct chunk once a call.
+        """
+        lists = pc.ascii_split_whitespace(texts)
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        parts = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        words = np.frombuffer(b"".join(parts), self.dtype)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(self.dtype).itemsize
+        starts = np.cumsum(lengths) - lengths
+        chunk = coded.indices.to_numpy(zero_copy_only=False)
+        n = lengths[chunk]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        place = np.repeat(starts[chunk] - ends[:-1], n)
+        place += np.arange(len(place))
+        return words[place], ends[np.cumsum(sizes)]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text (null: none), without special tokens, as bytes."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            split = [(self.ODD.search(t) and ASCII_SPACE.split(t)) or t.split() if t else [] for t in texts[i : i + 256]]
-            if len(self.known) > self.limit // 2:
-                self.known, self.old = {}, self.known
-            known = self.known
-            new: set[str] = set()
-            for chunks in split:
-                new.update(filterfalse(known.__contains__, chunks))
-            if new:
-                self._learn(new)
-            get = known.__getitem__
-            out += [b"".join(map(get, chunks)) for chunks in split]
-        return out
+        flat, ends = self.ids(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        view, width = flat.tobytes(), np.dtype(self.dtype).itemsize
+        stops = (ends * width).tolist()
+        return [view[a:b] for a, b in zip([0, *stops], stops)]
 
 
 @lru_cache(maxsize=2)
-def word_cache(path: str, dtype: str = "<u2") -> WordCache:
-    """One cache for each Python worker, vocabulary and width."""
-    return WordCache(path, dtype=dtype)
+def word_cache(path: str, dtype: str = "<u2", limit: int = 600_000) -> WordCache:
+    """One cache for each Python worker, vocabulary, width and limit."""
+    return WordCache(path, limit, dtype)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

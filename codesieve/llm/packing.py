@@ -38,7 +38,7 @@ def tokenised_pieces(docs: DataFrame, size: int, path: str, end_id: int = 1) ->
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text")), strict=True):
                 ids = np.frombuffer(own, cache.dtype).astype("<u4").tobytes() + end
                 for k in range(0, len(ids) // 4, size):
                     part = ids[4 * k : 4 * (k + size)]

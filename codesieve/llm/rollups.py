@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
         cache = word_cache(path)
         width = np.dtype(cache.dtype).itemsize
         for batch in slices(batches):
-            n = [len(x) // width for x in cache.encode(batch.column("text").to_pylist())]
+            n = [len(x) // width for x in cache.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
     return docs.select("doc_id", "source", "lang", "text").mapInArrow(run, "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint")
