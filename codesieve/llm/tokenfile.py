@@ -6,7 +6,7 @@ equal length that are coded side by side as numpy vectors, each with its own ran
 
 * order 2: the id that last followed the two ids before (a hashed table), with a confidence from 0 to 7;
 * order 1: the id that last followed the id before, with a confidence;
-* order 0: adaptive frequencies of all ids, refreshed after every second CHUNK.
+* order 0: adaptive frequencies of all ids, renewed after every REFRESH ids that the two others missed.
 
 The three are mixed into one distribution: the weights of the order-2 and order-1 predictions, and what is left to
 order 0, are adaptive counts of their successes by both confidences and whether the two predictions agree. An id is
@@ -32,18 +32,19 @@ from pyspark.sql import functions as F
 from .common import U64, open_store, shared_path, slices, tokenizer_path, word_cache, workspace
 from .ranges import deal, range_bounds, shard_column
 
-MAGIC = b"CMRC0001"
-BLOCK, LANES, CHUNK = 1 << 19, 2048, 8
+MAGIC = b"CMRC0002"
+BLOCK, LANES, CHUNK = 1 << 21, 2048, 4
 M_BITS = 24
 M = 1 << M_BITS
-TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
+BOTTOM = U64(1 << 32)
+SHIFT, WORD, FULL = U64(M_BITS), U64(32), U64((1 << 64) - 1)
 HEAD = struct.Struct("<IHIII")  # ids, lanes, payload bytes, crc32 of the ids, crc32 of the payload
 
 
 class Model:
     """The mixed predictions of one block."""
 
-    HASH_BITS, STEP = 18, 16
+    HASH_BITS, STEP, REFRESH, CELL = 18, 16, 1 << 14, 8
 
     def __init__(self, vocabulary: int):
         self.t1 = np.zeros(vocabulary + 1, np.int32)  # prediction << 3 | confidence; the last row: no id before
@@ -51,54 +52,78 @@ class Model:
         self.freq = np.ones(vocabulary, np.int64)
         self.stats = np.tile(np.array([1, 1, 4], np.int64), (128, 1))
         self.waiting: list[np.ndarray] = []
-        self.cum = np.arange(vocabulary + 1)
-        self._refresh()
+        self.cum = np.zeros(vocabulary + 1, np.int64)  # scaled to M parts
+        self._count()
+        self._weigh()
 
-    def _refresh(self) -> None:
-        if len(self.waiting) == 2:
+    def _count(self) -> None:
+        if self.waiting:
             self.freq += self.STEP * np.bincount(np.concatenate(self.waiting), minlength=len(self.freq))
             self.waiting = []
+        np.cumsum(self.freq, out=self.cum[1:])
+        if self.cum[-1] > M >> 4:  # so that no id's part of a rest of M / 16 is empty
+            self.freq = (self.freq + 1) >> 1
             np.cumsum(self.freq, out=self.cum[1:])
-            if self.cum[-1] > M >> 4:
-                self.freq = (self.freq + 1) >> 1
-                np.cumsum(self.freq, out=self.cum[1:])
-        self.total = int(self.cum[-1])
+        self.cum <<= M_BITS
+        self.cum //= int(self.cum[-1]) >> M_BITS
+        self._cells = None
+
+    def _weigh(self) -> None:
         n = self.stats.sum(axis=1)
         self.w2 = np.clip(self.stats[:, 0] * M // n, 64, M * 9 // 10)
         self.w1 = np.minimum(np.clip(self.stats[:, 1] * M // n, 64, None), M * 15 // 16 - self.w2)
         self.w1[1::2] = 0  # both predict the same id
+        self.base = self.w2 + self.w1
+        self.rest = M - self.base
 
     def look(self, before2: np.ndarray, before1: np.ndarray):
-        """(place in t2, order-2 and order-1 predictions, mixing context)."""
+        """(place in t2, what t2 and t1 hold, their predictions, mixing context)."""
         place = ((before2 * 0x9E3779B1 + before1 * 0x85EBCA6B) >> 7) & ((1 << self.HASH_BITS) - 1)
-        a, b = self.t2[place], self.t1[before1]
+        a, b = self.t2.take(place), self.t1.take(before1)
         p2, p1 = a >> 3, b >> 3
-        return place, p2, p1, ((a & 7) << 4) | ((b & 7) << 1) | (p1 == p2)
+        return place, a, b, p2, p1, ((a & 7) << 4) | ((b & 7) << 1) | (p1 == p2)
 
     def intervals(self, ids: np.ndarray, p2: np.ndarray, p1: np.ndarray, context: np.ndarray):
         """(start, size) of the ids in the mixture of M parts."""
-        w2, w1 = self.w2[context], self.w1[context]
-        base = w2 + w1
-        rest = M - base
-        low = rest * self.cum[ids] // self.total
-        high = rest * self.cum[ids + 1] // self.total
-        hit2 = ids == p2
-        hit1 = (ids == p1) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, w2, base + low))
-        size = np.where(hit2, w2, np.where(hit1, w1, high - low))
+        rest = self.rest.take(context)
+        start = rest * self.cum.take(ids) >> M_BITS
+        size = (rest * self.cum.take(ids + 1) >> M_BITS) - start
+        start += self.base.take(context)
+        for hit, begin, part in ((ids == p1, self.w2, self.w1), (ids == p2, None, self.w2)):  # order 2 goes first
+            at = hit.nonzero()[0]
+            own = context[at]
+            start[at] = 0 if begin is None else begin[own]
+            size[at] = part[own]
         return start, size
 
-    def learn(self, before1: np.ndarray, ids: np.ndarray, place: np.ndarray, p2: np.ndarray, p1: np.ndarray, context: np.ndarray) -> None:
+    def find(self, v: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 parts of ``rest`` hold the values v."""
+        if self._cells is None:  # for each cell of 2**CELL parts the last id that begins at or before it
+            edge = (self.cum[:-1] + ((1 << self.CELL) - 1)) >> self.CELL
+            self._cells = np.cumsum(np.bincount(edge, minlength=(M >> self.CELL) + 1)) - 1
+        want = (((v + 1) << M_BITS) - 1) // rest
+        found = self._cells.take(want >> self.CELL)
+        at = (self.cum.take(found + 1) <= want).nonzero()[0]
+        while len(at):
+            found[at] += 1
+            at = at[self.cum.take(found[at] + 1) <= want[at]]
+        return found
+
+    def learn(self, before1, ids, place, a, b, p2, p1, context) -> None:
         """Takes in ids in order of time; of several ids with one context the last counts."""
-        hit2 = ids == p2
-        outcome = np.where(hit2, 0, np.where(ids == p1, 1, 2))
+        hit2, hit1 = ids == p2, ids == p1
+        outcome = np.where(hit2, 0, 2 - hit1)
         self.stats += np.bincount(context * 3 + outcome, minlength=384).reshape(128, 3)
         self.waiting.append(ids[outcome == 2])
-        for table, at, guess in ((self.t2, place, p2), (self.t1, before1, p1)):
-            sure = table[at] & 7
-            kept = np.where(ids == guess, (guess << 3) | np.minimum(sure + 1, 7), np.where(sure >= 2, (guess << 3) | (sure - 2), (ids << 3) | 1))
+        fresh = (ids << 3 | 1).astype(np.int32)
+        for table, at, old, hit in ((self.t2, place, a, hit2), (self.t1, before1, b, hit1)):
+            kept = np.where((old & 7) >= 2, old - 2, fresh)
+            sure = hit.nonzero()[0]
+            kept[sure] = np.minimum(old[sure] + 1, old[sure] | 7)
             table[at] = kept
-        self._refresh()
+        if sum(map(len, self.waiting)) >= self.REFRESH:
+            self._count()
+        self._weigh()
 
 
 def _lanes(n: int) -> int:
@@ -106,49 +131,55 @@ def _lanes(n: int) -> int:
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
-    """One block with its header; ids: at most BLOCK values below vocabulary."""
+    """One block with its header; ids: at most BLOCK values below vocabulary.
+
+    A lane's coder holds the low end of its interval modulo 2**64 and the interval's width. Below 2**32 a word leaves; a
+    carry is added to the word that left last, and travels further once all words are there.
+    """
     n = len(ids)
     lanes = _lanes(n)
     steps = -(-n // lanes)
-    x = np.zeros(lanes * steps, np.int64)
-    x[:n] = ids
-    x = x.reshape(lanes, steps).T  # a row for each step
-    none = np.full((1, lanes), vocabulary, np.int64)
-    b1 = np.vstack((none, x[:-1]))
-    b2 = np.vstack((none, b1[:-1]))
+    own = np.zeros(lanes * steps, np.int32)
+    own[:n] = ids
+    x = np.full((steps + 2, lanes), vocabulary, np.int64)  # a row for each step, after two without ids
+    x[2:] = own.reshape(lanes, steps).T
     model = Model(vocabulary)
-    low, width = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64)
-    out, pos = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    shift16, shift48, shift = U64(16), U64(48), U64(M_BITS)
+    low, width = np.zeros(lanes, U64), np.full(lanes, FULL, U64)
+    out = np.zeros((steps + 1) * lanes, U64)  # a row for each lane's next word
+    pos = np.arange(lanes)
     for t in range(0, steps, CHUNK):
-        part = slice(t, t + CHUNK)
-        place, p2, p1, context = model.look(b2[part], b1[part])
-        start, size = model.intervals(x[part], p2, p1, context)
-        start, size = start.astype(U64), size.astype(U64)
-        for k in range(len(start)):
-            r = width >> shift
-            low += start[k] * r
-            width = size[k] * r
-            while True:
-                same = (low ^ (low + width)) < TOP
-                small = (width < BOTTOM) & ~same
-                at = (same | small).nonzero()[0]
-                if not len(at):
-                    break
-                cut = small.nonzero()[0]
-                if len(cut):
-                    width[cut] = (U64(0) - low[cut]) & (BOTTOM - U64(1))
-                own = low[at]
-                out[at, pos[at]] = own >> shift48
-                pos[at] += 1
-                low[at] = own << shift16
-                width[at] <<= shift16
-        model.learn(b1[part].ravel(), x[part].ravel(), place.ravel(), p2.ravel(), p1.ravel(), context.ravel())
+        to = min(t + CHUNK, steps)
+        before2, before1, own = (x[t + k : to + k].ravel() for k in range(3))
+        place, a, b, p2, p1, context = model.look(before2, before1)
+        start, size = model.intervals(own, p2, p1, context)
+        for begin, part in zip(start.view(U64).reshape(-1, lanes), size.view(U64).reshape(-1, lanes), strict=True):
+            width >>= SHIFT
+            begin *= width
+            low += begin
+            width *= part
+            over = (low < begin).nonzero()[0]
+            if len(over):
+                out[pos[over] - lanes] += U64(1)
+            at = (width < BOTTOM).nonzero()[0]
+            if len(at):
+                now, end = low[at], pos[at]
+                out[end] = now >> WORD
+                pos[at] = end + lanes
+                low[at] = now << WORD
+                width[at] <<= WORD
+        model.learn(before1, own, place, a, b, p2, p1, context)
     end = low + (BOTTOM - U64(1))
-    for s in (48, 32):
-        out[np.arange(lanes), pos] = (end >> U64(s)) & U64(0xFFFF)
-        pos += 1
-    payload = pos.astype("<u2").tobytes() + out[np.arange(out.shape[1])[None, :] < pos[:, None]].astype("<u2").tobytes()
+    over = (end < low).nonzero()[0]
+    out[pos[over] - lanes] += U64(1)
+    out[pos] = end >> WORD
+    lengths = pos // lanes + 1
+    words = out.reshape(-1, lanes)[: lengths.max()].T
+    carry = words >> WORD
+    while carry.any():
+        words &= BOTTOM - U64(1)
+        words[:, :-1] += carry[:, 1:]
+        carry = words >> WORD
+    payload = lengths.astype("<u2").tobytes() + words[np.arange(words.shape[1])[None, :] < lengths[:, None]].astype("<u4").tobytes()
     return HEAD.pack(n, lanes, len(payload), zlib.crc32(np.asarray(ids, "<u4").tobytes()), zlib.crc32(payload)) + payload
 
 
@@ -158,59 +189,51 @@ def decode_block(data: memoryview, vocabulary: int) -> tuple[np.ndarray, int]:
     payload = data[HEAD.size : HEAD.size + size]
     if len(payload) != size or zlib.crc32(payload) != crc_payload:
         raise ValueError("a block is damaged")
-    words = np.frombuffer(payload, "<u2")
-    lengths = words[:lanes].astype(np.int64)
-    flow = np.zeros((lanes, int(lengths.max()) + 8), U64)
-    flow[np.arange(flow.shape[1])[None, :] < lengths[:, None]] = words[lanes:]
+    lengths = np.frombuffer(payload, "<u2", lanes).astype(np.int64)
     steps = -(-n // lanes)
-    x = np.zeros((steps, lanes), np.int64)
-    lane = np.arange(lanes)
-    low, width = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64)
-    code = flow[:, 0] << U64(48) | flow[:, 1] << U64(32) | flow[:, 2] << U64(16) | flow[:, 3]
-    pos = np.full(lanes, 4, np.int64)
+    flow = np.zeros((lanes, int(lengths.max()) + 2), np.uint32)
+    flow[np.arange(flow.shape[1])[None, :] < lengths[:, None]] = np.frombuffer(payload, "<u4", offset=2 * lanes)
+    flow = flow.T.ravel()  # a row for each lane's next word
+    code = flow[:lanes].astype(U64) << WORD | flow[lanes : 2 * lanes]  # less the low end of the interval
+    pos = np.arange(lanes) + 2 * lanes
+    width = np.full(lanes, FULL, U64)
+    x = np.zeros((steps, lanes), "<u4")
     model = Model(vocabulary)
     b1 = np.full(lanes, vocabulary, np.int64)
     b2 = b1
-    shift16, shift = U64(16), U64(M_BITS)
     for t in range(0, steps, CHUNK):
         kept = []
         for k in range(t, min(t + CHUNK, steps)):
-            place, p2, p1, context = model.look(b2, b1)
-            w2, w1 = model.w2[context], model.w1[context]
-            r = width >> shift
-            v = np.minimum((code - low) // r, U64(M - 1)).astype(np.int64)
-            base = w2 + w1
-            ids = np.where(v < w2, p2, p1).astype(np.int64)
-            start, freq = np.where(v < w2, 0, w2), np.where(v < w2, w2, w1)
-            far = (v >= base).nonzero()[0]
-            if len(far):
-                rest, own = M - base[far], v[far] - base[far]
-                found = np.searchsorted(model.cum, ((own + 1) * model.total - 1) // rest, side="right") - 1
-                a = rest * model.cum[found] // model.total
-                ids[far] = found
-                start[far] = base[far] + a
-                freq[far] = rest * model.cum[found + 1] // model.total - a
-            low += start.astype(U64) * r
-            width = freq.astype(U64) * r
-            while True:
-                same = (low ^ (low + width)) < TOP
-                small = (width < BOTTOM) & ~same
-                at = (same | small).nonzero()[0]
-                if not len(at):
-                    break
-                cut = small.nonzero()[0]
-                if len(cut):
-                    width[cut] = (U64(0) - low[cut]) & (BOTTOM - U64(1))
-                p = np.minimum(pos[at], flow.shape[1] - 1)
-                code[at] = code[at] << shift16 | flow[at, p]
-                pos[at] += 1
-                low[at] <<= shift16
-                width[at] <<= shift16
+            place, a, b, p2, p1, context = model.look(b2, b1)
+            base, rest = model.base.take(context), model.rest.take(context)
+            width >>= SHIFT
+            v = np.minimum(code // width, U64(M - 1)).view(np.int64)
+            near = (v < base).nonzero()[0]
+            v -= base
+            v[near] = 0
+            ids = model.find(v, rest)
+            start = rest * model.cum.take(ids) >> M_BITS
+            part = (rest * model.cum.take(ids + 1) >> M_BITS) - start
+            start += base
+            if len(near):
+                w2, w1 = model.w2[context[near]], model.w1[context[near]]
+                second = code[near] // width[near] < w2.view(U64)
+                ids[near] = np.where(second, p2[near], p1[near])
+                start[near] = np.where(second, 0, w2)
+                part[near] = np.where(second, w2, w1)
+            code -= start.view(U64) * width
+            width *= part.view(U64)
+            at = (width < BOTTOM).nonzero()[0]
+            if len(at):
+                to = pos[at]
+                code[at] = code[at] << WORD | flow[to]
+                pos[at] = to + lanes
+                width[at] <<= WORD
             x[k] = ids
-            kept.append((b1, ids, place, p2, p1, context))
+            kept.append((b1, ids, place, a, b, p2, p1, context))
             b2, b1 = b1, ids
-        model.learn(*(np.concatenate([row[i] for row in kept]) for i in range(6)))
-    out = np.ascontiguousarray(x[:, lane].T).ravel()[:n].astype("<u4")
+        model.learn(*map(np.concatenate, zip(*kept, strict=True)))
+    out = np.ascontiguousarray(x.T).ravel()[:n]
     if zlib.crc32(out.tobytes()) != crc_ids:
         raise ValueError("a block's ids are not those that were written")
     return out, HEAD.size + size
@@ -263,7 +286,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_by
         from .common import _tokenizer
 
         workspace("tokens")
-        cache = word_cache(path, dtype)
+        cache = word_cache(path, dtype, 1_200_000)
         vocabulary = _tokenizer(path).get_vocab_size()
         width = np.dtype(dtype).itemsize
         done, now, ids, known = [], None, [], []
@@ -285,9 +308,9 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_by
             data = files[f"{name}.cmrc"]
             done.append((now, name, len(known), len(flat), len(data), hashlib.sha256(data).hexdigest()))
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=4 << 20):
             shards = batch.column("shard").to_pylist()
-            coded = cache.encode(batch.column("text").to_pylist())
+            coded = cache.encode(batch.column("text"))
             for shard, doc_id, own in zip(shards, batch.column("doc_id").to_pylist(), coded, strict=True):
                 if shard != now:
                     close()

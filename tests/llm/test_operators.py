@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,7 +278,7 @@ def bpe(text):
 
 def test_word_cache_is_the_tokenizer(small, odd):
     cache = common.WordCache(common.tokenizer_path(), limit=50)
-    own = [t for _, t in texts(small)[:60] + texts(odd) if t is None or len(t) < 100_000] + ["ΑΣ. İs'TAN'll ́x ﬁ don't", "a\x1fb \x1d"]
+    own = [t for _, t in texts(small)[:60] + texts(odd) if t is None or len(t) < 100_000] + ["ΑΣ. İs'TAN'll ́x ﬁ don't", "a\x1fb \x1d", "a\u00a0b \u2003c\u3000 d\u0085 \u2028e\u00a0 \u00a0", " \u0301a e \u0301", "\x0b\x0ca\r\n"]
     for t, ids in zip(own, cache.encode(own), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == bpe(t)
 
@@ -346,6 +347,25 @@ def test_codec_round_trip(n):
         assert (tokenfile.decode_file(data, n // 3, n // 5) == ids[n // 3 : n // 3 + n // 5]).all()
 
 
+def test_codec_carries():
+    """Runs that are predicted with near certainty leave narrow intervals, rare ids after them wide steps and carries."""
+    rng = np.random.default_rng(5)
+    for rare in (1, 0.1, 0.003):
+        for top in (49_407, 3):
+            ids = np.where(rng.random(60_000) < rare, top, 0)
+            assert (tokenfile.decode_file(tokenfile.encode_file(ids, 49_408, block=30_000)) == ids).all()
+
+
+def test_codec_beats_static_order_0():
+    """On real documents the contexts earn more than a static order-0 code, which would be given its table for nothing."""
+    rows = [t for (t,) in zip(*pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pydict().values(), strict=True)]
+    ids = np.frombuffer(b"".join(common.word_cache(common.tokenizer_path()).encode(rows)), "<u2")
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum() / 8
+    size = len(tokenfile.encode_file(ids, 49_408)) / len(ids)
+    assert size < entropy - 0.03
+
+
 def test_codec_compresses_and_checks():
     ids = np.tile(np.arange(50), 4000)
     data = tokenfile.encode_file(ids, 49_408)
