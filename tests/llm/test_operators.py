@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -283,6 +284,28 @@ def test_word_cache_is_the_tokenizer(small, odd):
         assert np.frombuffer(ids, "<u2").tolist() == bpe(t)
 
 
+def test_slice_coder_is_the_tokenizer(small, odd, monkeypatch):
+    """Plain chunks are merged side by side, as the library does it, and without asking it."""
+    path, rng = common.tokenizer_path(), np.random.default_rng(7)
+    letters = list("etaoinshrdlucmfwypvbgkqjxzETAOINaaaeee") + ["\u00e4", "\u00d6", "\u00df", "\u00ff", "\u00c0", "\u00de"]
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 70, 3000)]
+    plain = [w + str(rng.choice(["", "", ".", "!?)", "###"])) for w in words if len(w.encode()) <= 62]
+    other = ["\u00d7a", "a\u00f7", "a\u00aa", "\u00b5", "it's", "x'", "a.b", ".a", "a1", "a" + "-" * 80, "J\u030c", "\u0130I", "<|endoftext|>", "<|ENDOFTEXT|>.", "", " ", "\u0395\u03bb\u03ac\u03c2.", "\ud55c\uae00"]
+    own = [*plain, *words, *other, None, " ".join(plain[:500] + other), *[t for _, t in texts(small)[:60] + texts(odd) if t is None or len(t) < 100_000]]
+    want = [bpe(t) for t in own]
+    for dtype, kind in (("<u2", pa.string()), ("<u4", pa.large_string())):
+        coder = common.SliceCoder(path, dtype=dtype)
+        assert [np.frombuffer(x, dtype).tolist() for x in coder.encode(pa.array(own, kind))] == want
+    assert [np.frombuffer(x, "<u2").tolist() for x in common.SliceCoder(path).encode(pa.array([None, ""], pa.string()))] == [[], []]
+    with monkeypatch.context() as m:
+        m.setattr(common, "_tokenizer", None)
+        m.setattr(common, "_model", None)
+        assert [np.frombuffer(x, "<u2").tolist() for x in common.SliceCoder(path).encode(plain)] == want[: len(plain)]
+        m.undo()
+        m.setattr(common, "_merges", lambda _: None)  # a vocabulary of another kind
+        assert [np.frombuffer(x, "<u2").tolist() for x in common.SliceCoder(path).encode(own)] == want
+
+
 def test_word_cache_forgets_and_learns_again():
     cache, plain = common.WordCache(common.tokenizer_path(), limit=40), common._tokenizer(common.tokenizer_path())
     text = " ".join(f"Stra\u00dfe{k}, \u0395\u03bb\u03bb\u03ac\u03c2. WORD{chr(97 + k % 26)}!? it's na\u00efve... \u00bd, x\u00b2; I\u0307x, end." for k in range(60))
@@ -347,6 +370,19 @@ def test_codec_round_trip(n):
         assert (tokenfile.decode_file(data, n // 3, n // 5) == ids[n // 3 : n // 3 + n // 5]).all()
 
 
+def test_codec_finds_ids_as_a_search_does():
+    rng = np.random.default_rng(9)
+    for vocabulary in (1, 3, 49_408, 70_000):
+        model = tokenfile.Model(vocabulary)
+        for _ in range(6):
+            model.waiting = [rng.zipf(1.2, 20_000) % vocabulary]
+            model._count()
+            rest = rng.integers(tokenfile.M // 16, tokenfile.M + 1, 5000)
+            v = np.concatenate((np.zeros(500, int), rest[500:1000] - 1, (rng.random(4000) * rest[1000:]).astype(int)))
+            want = (((v + 1) << tokenfile.M_BITS) - 1) // rest
+            assert (model.find(v, rest.astype(float)) == np.searchsorted(model.cum, want, side="right") - 1).all()
+
+
 def test_codec_carries():
     """Runs that are predicted with near certainty leave narrow intervals, rare ids after them wide steps and carries."""
     rng = np.random.default_rng(5)
