@@ -383,6 +383,25 @@ def test_codec_finds_ids_as_a_search_does():
             assert (model.find(v, rest.astype(float)) == np.searchsorted(model.cum, want, side="right") - 1).all()
 
 
+def test_codec_blocks_are_alike_and_refresh_less_often():
+    """No short last block, which would cost as many steps as a long one, and frequencies that are renewed as they age."""
+    ids = np.random.default_rng(11).integers(0, 49_408, 400_000)
+    data = tokenfile.encode_file(ids[:8001], 49_408, block=4000)
+    index = np.frombuffer(data, "<u8", 6, len(data) - 20 - 48).reshape(-1, 2)
+    assert index[:, 0].tolist() == [0, 2667, 5334] and (tokenfile.decode_file(data) == ids[:8001]).all()
+    renewals = []
+
+    class Counted(tokenfile.Model):
+        def _count(self):
+            renewals.append(self.held)
+            super()._count()
+
+    model, none = Counted(49_408), np.zeros(8192, np.int64)
+    for own in ids[: 48 * 8192].reshape(-1, 8192):
+        model.learn(none, own, none, none.astype(np.int32), none.astype(np.int32), none - 1, none - 1, none)
+    assert len(renewals) < 26 and renewals[-1] > renewals[1] >= 8192
+
+
 def test_codec_carries():
     """Runs that are predicted with near certainty leave narrow intervals, rare ids after them wide steps and carries."""
     rng = np.random.default_rng(5)
